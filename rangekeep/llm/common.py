@@ -92,7 +92,7 @@ def fields(spec: str) -> T.StructType:
     """'a long, b string' as a StructType, without a session."""
     kinds = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(),
              "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<long>": T.ArrayType(T.LongType()),
-             "array<int>": T.ArrayType(T.IntegerType()), "array<double>": T.ArrayType(T.DoubleType())}
+             "array<int>": T.ArrayType(T.IntegerType()), "array<string>": T.ArrayType(T.StringType()), "array<double>": T.ArrayType(T.DoubleType())}
     return T.StructType([T.StructField(*(lambda p: (p[0], kinds[p[1]]))(x.split())) for x in spec.split(",")])
 
 
