@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, dedup, lm, ogg, quality, secrets, spiece, toxicity, warc
+from . import decontam, dedup, lm, ogg, pii, quality, secrets, spiece, toxicity, warc
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.classes(table(spark, sf_dir, "documents"))
 
