@@ -98,3 +98,23 @@ def fields(spec: str) -> T.StructType:
 
 def span_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+#: Ids up to which a list of rows to drop is broadcast, as counted; beyond it the join shuffles.
+BROADCAST_IDS = 100_000
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with marks before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in the first column of ids; a null id is dropped by a null."""
+    gone = free_name(docs, "gone")
+    ids = ids.toDF(gone).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(ids[gone]), "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import NOT_WORD, ascii_lower, stage
+from .common import NOT_WORD, ascii_lower, stage, without
 
 WINDOW = 13
 #: A document is contaminated if hits make up one word in so many, or more.
@@ -125,7 +125,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         ((n_hit > 0) & (n_hit * SHARE >= F.col("n"))).alias("contaminated"))
 
 
-#: The same for the test tables.
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs less the contaminated ones, whole and unchanged.  Ids name rows here: a contaminated
+    text takes all rows of its id along."""
+    found = find(docs, benchmark, id_col, text_col).filter("contaminated").select("doc_id")
+    return without(docs, stage(docs.sparkSession, found, "decontam-contaminated"), id_col)
+
+
+#: The same as find() for the test tables.
 ORACLE = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

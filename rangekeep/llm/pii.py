@@ -3,8 +3,8 @@
 Base spans (email, ip, card, phone) are the leftmost, non-overlapping matches of four patterns, less those that fail
 their check.  The network finds written-around forms besides ("name [at] host dot com", "1[.]2[.]3[.]4"): it reads
 overlapping windows of a text, their emissions are averaged where windows overlap, and one Viterbi pass over
-each covered stretch reconciles them.  A span counts if it reads as its kind once marks are undone, and
-overlaps no base span.  Every form needs a digit, an at sign or a bracketed "at" or "dot"; windows without any such
+each covered stretch reconciles them.  A span, cut at words' ends, counts if it reads as its kind once
+marks are undone, and overlaps no base span.  Every form needs a digit, an at sign or a bracketed "at" or "dot"; windows without any such
 trigger outside base spans cannot hold one and are not read.
 
 The network is trained in numpy from labelled spans: texts' own windows, with their base spans as labels, into which further
@@ -94,6 +94,19 @@ def reads_as(kind: str, s: str) -> bool:
     return 9 <= len(digits) <= 15 and re.fullmatch(r"\+?\(?[0-9][ ()./0-9-]+[0-9]", s) is not None and not s.isdigit()
 
 
+def within(kind: str, text: str, a: int, b: int) -> tuple[str, int, int] | None:
+    """The first and longest part of a tagged span, cut at words' ends, that reads as its kind, or as another."""
+    s = text[a:b]
+    starts = [m.start() for m in re.finditer(r"(?<![^\s,;:])[^\s,;:]", s)][:6]
+    ends = [m.end() for m in re.finditer(r"[A-Za-z0-9](?![A-Za-z0-9])", s)]
+    for k in (kind, *(x for x in KINDS if x != kind)):
+        for x in starts:
+            for y in reversed(ends):
+                if y > x and reads_as(k, s[x:y]):
+                    return k, a + x, a + y
+    return None
+
+
 def char_ids(text: str) -> np.ndarray:
     """ASCII as it is, other letters and other characters as one id each."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -338,10 +351,9 @@ def tag_texts(tagger: Tagger, texts: list[str], bases: list[list[tuple[str, int,
             for j, tag in enumerate([*tags.tolist(), 0]):
                 name = TAGS[tag]
                 if start is not None and name[0] != "I":
-                    kind, a, b = TAGS[tags[start]][2:], a0 + start, a0 + j
-                    a, b = a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())
-                    if all(y <= a or b <= x for x, y in taken) and reads_as(kind, text[a:b]):
-                        out[i].append((kind, a, b))
+                    got = within(TAGS[tags[start]][2:], text, a0 + start, a0 + j)
+                    if got and all(y <= got[1] or got[2] <= x for x, y in taken):
+                        out[i].append(got)
                     start = None
                 if name[0] == "B":
                     start = j

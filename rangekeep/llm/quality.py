@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, fields, text_udf
+from .common import bucket, fields, free_name, text_udf
 
 #: Labelled rows that the fit takes at most.
 SAMPLE = 20_000
@@ -106,3 +106,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col), model).alias("score"))
     return rows.select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
                        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with predicted 1, whole and unchanged."""
+    name = free_name(docs, "quality_score")
+    model = fit(docs, labels, id_col, text_col)
+    return docs.withColumn(name, score(F.col(text_col), model)).filter(F.col(name) >= THRESHOLD).drop(name)
