@@ -1,15 +1,19 @@
-"""Helpers that the text operators share: reading, shared storage, null-safe texts."""
+"""Helpers that the text operators share: tables, folds, words, UDFs over texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from typing import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.storage import stage
+
+__all__ = ["ascii_lower", "bucket", "fields", "free_name", "span_text", "stage", "table", "text_udf", "without", "words"]
 
 #: A-Z to a-z only; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,28 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rangekeep-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost
-    executor costs no more than its running tasks.  The folder goes when the session ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone.  Pure ASCII texts take the fast path; it gives the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -76,15 +58,11 @@ def text_udf(schema: T.StructType, make: Callable[[], Callable[[str], tuple]]) -
                 [pa.array(list(c), a) for c, a in zip(cols, arrow, strict=True)], names=names
             )
 
-    from typing import Iterator
-
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, schema).asNondeterministic()
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
     return to_arrow_type(kind)
 
 
