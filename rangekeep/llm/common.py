@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.storage import stage
 
-__all__ = ["ascii_lower", "bucket", "fields", "free_name", "span_text", "stage", "table", "text_udf", "without", "words"]
+__all__ = ["ascii_lower", "bucket", "fields", "free_name", "small_batches", "span_text", "stage", "table", "text_udf", "without", "words"]
 
 #: A-Z to a-z only; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of whole texts, and the setting's default, which gives way to it.
+BATCH_ROWS, DEFAULT_ROWS = 1_000, "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts may be long, so Arrow batches hold fewer of them from now on; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone.  Pure ASCII texts take the fast path; it gives the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
