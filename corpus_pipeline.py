@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangekeep.llm import decontam, dedup, quality, secrets, spiece
-from rangekeep.llm.common import stage, table
+from rangekeep.llm.common import small_batches, stage, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates, the document with the least id stays."""
+    small_batches(spark)
     return dedup.keep_one(docs)
 
 
@@ -30,6 +32,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by their kinds; n_chars follows the text."""
+    small_batches(spark)
     masked = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -39,6 +42,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the pieces of each text, with digests of the round trip."""
+    small_batches(spark)
     return spiece.encode(docs, with_ids=True)
 
 
