@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, dedup, lm, ogg, pii, quality, secrets, spiece, toxicity, warc
-from .common import table
+from .common import small_batches, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)  # rows that are verified hold two whole texts
     return dedup.classes(table(spark, sf_dir, "documents"))
 
 
