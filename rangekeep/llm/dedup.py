@@ -5,10 +5,13 @@ number.  For each of BANDS hash functions a sketch keeps the PICK smallest label
 equal entries mean the same shingles in the same order.  Equal texts are collapsed first.  In a bucket (band, entry)
 of at most PAIRS_UP_TO texts all pairs are candidates; in a larger one each text pairs with the bucket's centres
 (those whose entries are the commonest, and one by a hash).  Texts that no centre of such a bucket links pair with SLICES
-further ones of it, and among themselves, in buckets split by the next entries of their sketches, level by level; so no
-group's pairs are all made.  Candidates that share MIN_SHARED entries are verified: their labelled
+further ones of it, and among themselves, in buckets split by the next entries of their sketches, level by level.  That only
+saves work: then all pairs of every large bucket that are not in one class by then meet, block by block, and those that share
+MIN_SHARED entries become candidates too.  Candidates that share MIN_SHARED entries are verified: their labelled
 shingles are aligned in order, within the band of offsets that the threshold leaves, and
-matched / (all - matched) must reach THRESHOLD.  Classes are the connected components of the links.
+matched / (all - matched) must reach THRESHOLD.  Classes are the connected components of the links; they are those of all
+candidates in buckets of any size.  Only pairs within a class that is joined already stay unmeasured, so n_links_measured
+is a lower bound of a text's links where its buckets are large, and their number elsewhere.
 
 Expected recall of a pair in small buckets at similarity s is 1 - (1-p)^B - B p (1-p)^(B-1), p = s^PICK: over 0.9999 at 0.8.
 Null texts count as empty; texts without words are linked only to equal texts.  Shorter texts than five words are one
@@ -34,6 +37,8 @@ MIN_SHARED = 2
 PAIRS_UP_TO = 24
 LEVELS = 3
 SLICES = 16
+#: Texts of a bucket, about, that meet in one block.
+BLOCK = 64
 #: Ids up to which a list of documents is broadcast, as counted.
 BROADCAST_ROWS = 100_000
 
@@ -225,6 +230,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _crossing_batches(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """For each bucket's two blocks of texts (k, root, length, sketch, large): the pairs of them that share MIN_SHARED entries, have
+    different roots and lengths that allow the threshold, and have this bucket as the first large one that they share."""
+    for bucket, threshold, left, right in batches:
+        rows = []
+        for b, least, *both in zip(bucket.to_pylist(), threshold.to_pylist(), left, right):
+            (kx, rx, nx, sx, lx), (ky, ry, ny, sy, _) = ((
+                x.field("k").to_pylist(), np.frombuffer(b"".join(x.field("root").to_pylist()), "S16"), x.field("length").to_numpy(),
+                np.stack([*_lists(x.field("sketch"))]).view(np.int64), np.array(x.field("large").to_pylist(), bool)) for x in (o.values for o in both))
+            same = sx[:, None, :] == sy[None, :, :]
+            met = (same.sum(axis=2) >= MIN_SHARED) & (rx[:, None] != ry[None, :])
+            met &= np.minimum(nx[:, None], ny[None, :]) >= least * np.maximum(nx[:, None], ny[None, :])
+            i, j = np.nonzero(met)
+            first = (same[i, j] & lx[i]).argmax(axis=1)
+            here = sx[i, first] == b
+            rows.append([{"a": min(kx[p], ky[q]), "b": max(kx[p], ky[q])} for p, q in zip(i[here].tolist(), j[here].tolist())])
+        yield pa.array(rows, pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))
+
+
+def crossing_pairs(large: DataFrame, sketches: DataFrame, words: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (a, b) of large buckets whose ends no link joins yet, directly or through others: all of them.  In a bucket, texts
+    outside its largest class meet all its texts, in blocks that are dealt by bucket and slice."""
+    spark = large.sparkSession
+    members = stage(spark, large.select("k", "b").join(components(found), "k", "left").select("k", "b", F.coalesce("root", "k").alias("root")), "dedup-members")
+    sizes = members.groupBy("b", "root").agg(F.count("*").alias("n"))
+    of = sizes.groupBy("b").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
+    of = of.select("b", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("all"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("outer"))
+    open_ = members.join(of, "b")
+    texts = sketches.join(large.groupBy("k").agg(F.collect_set("b").alias("bs")), "k").join(words.select("k", F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)).alias("length")), "k")
+    texts = texts.select("k", "length", "sketch", F.transform("sketch", lambda v: F.array_contains("bs", v)).alias("large"))
+    open_ = stage(spark, open_.join(texts, "k"), "dedup-open")
+    one = F.collect_list(F.struct("k", "root", "length", "sketch", "large"))
+    slice_ = lambda n, seed: F.pmod(F.xxhash64("k", F.lit(seed)), n)
+    inner = open_.groupBy("b", slice_(F.col("all"), 3).alias("j")).agg(one.alias("right"))
+    outer = open_.filter("root != main").groupBy("b", "all", slice_(F.col("outer"), 4).alias("i")).agg(one.alias("left"))
+    blocks = outer.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all") - 1))).join(inner, ["b", "j"])
+    cross = F.arrow_udf(_crossing_batches, "array<struct<a:binary,b:binary>>").asNondeterministic()
+    pairs = blocks.select(cross("b", F.lit(float(threshold)), "left", "right").alias("ps"))
+    return pairs.select(F.explode("ps").alias("p")).select("p.a", "p.b").distinct()
+
+
 def links(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b, similarity) between different texts, by their keys (md5 of the text)."""
     spark = docs.sparkSession
@@ -252,31 +298,32 @@ def links(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD)
     pairs = stage(spark, enough([small_pairs(held, 1), with_centres(large, of)]), "dedup-pairs")
     found = verified(pairs)
     left = stage(spark, stragglers(large, of, found), "dedup-stragglers")
-    if left.isEmpty():
-        return found
-    more = stage(spark, second_pairs(left, large, sketches).join(pairs, ["a", "b"], "left_anti"), "dedup-pairs")
-    return found.unionByName(verified(more))
+    if not left.isEmpty():
+        more = stage(spark, second_pairs(left, large, sketches).join(pairs, ["a", "b"], "left_anti"), "dedup-pairs")
+        found, pairs = found.unionByName(verified(more)), pairs.unionByName(more)
+    rest = crossing_pairs(large, sketches, words, found, threshold).join(pairs, ["a", "b"], "left_anti")
+    return found.unionByName(verified(stage(spark, rest, "dedup-pairs")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (least id of the class), n_links (links of its text to
-    other texts), class_size (rows)."""
+    """One row for each row of docs: doc_id, class_id (least id of the class), n_links_measured (links of its text to
+    other texts, of those pairs that were measured), class_size (rows)."""
     spark = docs.sparkSession
     found = links(docs, text_col, threshold)
     roots = components(found).withColumnRenamed("root", "r")
-    degree = found.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links"))
+    degree = found.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links_measured"))
     of_text = stage(spark, roots.join(degree, "k", "left"), "dedup-classes")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("k"))
     few = of_text.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(of_text) if few else of_text, "k", "left")
-    rows = rows.select("doc_id", F.coalesce("r", "k").alias("r"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = rows.select("doc_id", F.coalesce("r", "k").alias("r"), F.coalesce("n_links_measured", F.lit(0)).alias("n_links_measured"))
     rows = stage(spark, rows, "dedup-rows")
     # classes of one row need no table; that of the others is counted before it is sent to all executors
     sums = rows.groupBy("r").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).filter("class_size > 1")
     sums = stage(spark, sums, "dedup-sizes")
     few = sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(sums) if few else sums, "r", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links_measured", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -129,6 +129,25 @@ def test_pairs_in_small_buckets_are_all_found(spark):
     assert got == want
 
 
+def test_classes_of_large_groups_are_whole(spark):
+    r = random.Random(21)
+    vocab = vocabulary(r)
+    def edited(w, n):
+        w = list(w)
+        for at in r.sample(range(len(w)), n):
+            w[at] = r.choice(vocab) + "q"
+        return w
+
+    base = r.choices(vocab, k=150)
+    near = [base] + [edited(base, 2) for _ in range(150)]
+    made = near + [edited(w, 3) for w in near[1:]]  # the last are near those they come from alone
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)]
+    want = brute_classes(rows, brute_links(rows))
+    got = dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {x.doc_id: x.class_id for x in got} == want
+    assert "n_links_measured" in got[0].asDict()
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(r.randint(200, 299), r.randint(200, 299)) for _ in range(70)]
