@@ -13,7 +13,9 @@ matched / (all - matched) must reach THRESHOLD.  Classes are the connected compo
 candidates in buckets of any size.  Only pairs within a class that is joined already stay unmeasured, so n_links_measured
 is a lower bound of a text's links where its buckets are large, and their number elsewhere.
 
-Expected recall of a pair in small buckets at similarity s is 1 - (1-p)^B - B p (1-p)^(B-1), p = s^PICK: over 0.9999 at 0.8.
+Texts of at most SHORT shingles are also found by a prefix-filtered join: they and those that they can reach have an entry for each
+of their n - ceil(threshold n) + 1 rarest labelled shingles, and one such entry shared makes a candidate; so their links are exact.
+Expected recall of a pair of longer texts at similarity s is 1 - (1-p)^B - B p (1-p)^(B-1), p = s^PICK: over 0.9999 at 0.8.
 Null texts count as empty; texts without words are linked only to equal texts.  Shorter texts than five words are one
 shingle.  Rows with null ids take part; a class's id is its least non-null id.  Rows repeated in full are copies.
 """
@@ -35,6 +37,8 @@ PICK = 5
 THRESHOLD = 0.8
 MIN_SHARED = 2
 PAIRS_UP_TO = 24
+#: Shingles up to which chance would lose pairs: such texts are found exactly.
+SHORT = 56
 LEVELS = 3
 SLICES = 16
 #: Texts of a bucket, about, that meet in one block.
@@ -129,11 +133,28 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield values[a:b]
 
 
-def _sketch_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in batches:
-        rows = [sketch(labelled_shingles(w)) for w in _lists(column)]
-        offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+def _as_lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+
+
+def _sketch_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Sketches, and the labelled shingles themselves of texts that have so many at most."""
+    for column, most in batches:
+        each = [labelled_shingles(w) for w in _lists(column)]
+        short = [x.view(np.int64) if len(x) <= m else np.empty(0, np.int64) for x, m in zip(each, most.to_pylist())]
+        yield pa.StructArray.from_arrays([_as_lists([sketch(x) for x in each]), _as_lists(short)], names=["sketch", "shingles"])
+
+
+def prefixes(sketches: DataFrame, threshold: float) -> DataFrame:
+    """(k, v, b): entries for the rarest shingles of short texts, so many that two texts at the threshold share one.  What occurs
+    once is left out, as nothing shares it."""
+    each = sketches.filter(F.size("shingles") > 0).select("k", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counts = each.groupBy("s").agg(F.count("*").alias("c"))
+    order = F.array_sort(F.collect_list(F.struct("c", "s")))
+    first = each.join(counts, "s").groupBy("k", "n").agg(order.alias("all")).select(
+        "k", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("p"))
+    return first.filter("p.c > 1").select("k", F.col("p.s").alias("v"), F.xxhash64("p.s", F.lit("short")).alias("b"))
 
 
 def _similar_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -142,7 +163,7 @@ def _similar_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[p
 
 
 def buckets(spark: SparkSession, members: DataFrame, name: str) -> DataFrame:
-    """Members (k, v, b) of buckets b that hold two texts or more, with their number n."""
+    """Members (k, v, b, and others) of buckets b that hold two texts or more, with their number n."""
     counts = members.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1")
     return stage(spark, members.join(counts, "b"), name)
 
@@ -232,19 +253,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _crossing_batches(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     """For each bucket's two blocks of texts (k, root, length, sketch, large): the pairs of them that share MIN_SHARED entries, have
-    different roots and lengths that allow the threshold, and have this bucket as the first large one that they share."""
-    for bucket, threshold, left, right in batches:
+    different roots and lengths that allow the threshold, and have this bucket as the first large one that they share.  In a bucket of
+    short texts' entries all pairs share enough."""
+    for bucket, short, threshold, left, right in batches:
         rows = []
-        for b, least, *both in zip(bucket.to_pylist(), threshold.to_pylist(), left, right):
+        for b, one, least, *both in zip(bucket.to_pylist(), short.to_pylist(), threshold.to_pylist(), left, right):
             (kx, rx, nx, sx, lx), (ky, ry, ny, sy, _) = ((
                 x.field("k").to_pylist(), np.frombuffer(b"".join(x.field("root").to_pylist()), "S16"), x.field("length").to_numpy(),
                 np.stack([*_lists(x.field("sketch"))]).view(np.int64), np.array(x.field("large").to_pylist(), bool)) for x in (o.values for o in both))
             same = sx[:, None, :] == sy[None, :, :]
-            met = (same.sum(axis=2) >= MIN_SHARED) & (rx[:, None] != ry[None, :])
+            met = (one | (same.sum(axis=2) >= MIN_SHARED)) & (rx[:, None] != ry[None, :])
             met &= np.minimum(nx[:, None], ny[None, :]) >= least * np.maximum(nx[:, None], ny[None, :])
             i, j = np.nonzero(met)
             first = (same[i, j] & lx[i]).argmax(axis=1)
-            here = sx[i, first] == b
+            here = one | (sx[i, first] == b)
             rows.append([{"a": min(kx[p], ky[q]), "b": max(kx[p], ky[q])} for p, q in zip(i[here].tolist(), j[here].tolist())])
         yield pa.array(rows, pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))
 
@@ -253,7 +275,7 @@ def crossing_pairs(large: DataFrame, sketches: DataFrame, words: DataFrame, foun
     """Candidates (a, b) of large buckets whose ends no link joins yet, directly or through others: all of them.  In a bucket, texts
     outside its largest class meet all its texts, in blocks that are dealt by bucket and slice."""
     spark = large.sparkSession
-    members = stage(spark, large.select("k", "b").join(components(found), "k", "left").select("k", "b", F.coalesce("root", "k").alias("root")), "dedup-members")
+    members = stage(spark, large.select("k", "b", "short").join(components(found), "k", "left").select("k", "b", "short", F.coalesce("root", "k").alias("root")), "dedup-members")
     sizes = members.groupBy("b", "root").agg(F.count("*").alias("n"))
     of = sizes.groupBy("b").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
     of = of.select("b", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("all"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("outer"))
@@ -264,10 +286,10 @@ def crossing_pairs(large: DataFrame, sketches: DataFrame, words: DataFrame, foun
     one = F.collect_list(F.struct("k", "root", "length", "sketch", "large"))
     slice_ = lambda n, seed: F.pmod(F.xxhash64("k", F.lit(seed)), n)
     inner = open_.groupBy("b", slice_(F.col("all"), 3).alias("j")).agg(one.alias("right"))
-    outer = open_.filter("root != main").groupBy("b", "all", slice_(F.col("outer"), 4).alias("i")).agg(one.alias("left"))
+    outer = open_.filter("root != main").groupBy("b", "short", "all", slice_(F.col("outer"), 4).alias("i")).agg(one.alias("left"))
     blocks = outer.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all") - 1))).join(inner, ["b", "j"])
     cross = F.arrow_udf(_crossing_batches, "array<struct<a:binary,b:binary>>").asNondeterministic()
-    pairs = blocks.select(cross("b", F.lit(float(threshold)), "left", "right").alias("ps"))
+    pairs = blocks.select(cross("b", "short", F.lit(float(threshold)), "left", "right").alias("ps"))
     return pairs.select(F.explode("ps").alias("p")).select("p.a", "p.b").distinct()
 
 
@@ -275,10 +297,13 @@ def links(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD)
     """Verified links (a, b, similarity) between different texts, by their keys (md5 of the text)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.unhex(F.md5("text")))
-    make = F.arrow_udf(_sketch_batches, "array<long>").asNondeterministic()
-    each = stage(spark, texts.select("k", make(word_hashes(F.col("text"))).alias("sketch")), "dedup-sketches")
+    make = F.arrow_udf(_sketch_batches, "struct<sketch:array<bigint>,shingles:array<bigint>>").asNondeterministic()
+    most = F.lit(int(SHORT / threshold + 1e-9))
+    each = stage(spark, texts.select("k", make(word_hashes(F.col("text")), most).alias("made")).select("k", "made.*"), "dedup-sketches")
     sketches = stage(spark, each.filter(F.size("sketch") > 0).dropDuplicates(["k"]), "dedup-distinct")
-    held = buckets(spark, sketches.select("k", F.explode("sketch").alias("v")).withColumn("b", F.col("v")), "dedup-buckets")
+    entries = sketches.select("k", F.explode("sketch").alias("v")).withColumn("b", F.col("v")).withColumn("short", F.lit(False))
+    entries = entries.unionByName(prefixes(sketches, threshold).withColumn("short", F.lit(True)))
+    held = buckets(spark, entries, "dedup-buckets")
     ends = held.select("k").distinct()
     few = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = texts.join(F.broadcast(ends) if few else ends, "k", "left_semi").dropDuplicates(["k"])
@@ -291,13 +316,14 @@ def links(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD)
         met = met.select("a", "b", measure("wa", "wb").alias("similarity")).filter(F.col("similarity") >= threshold)
         return stage(spark, met, "dedup-links")
 
+    small = [small_pairs(held.filter("not short"), 1), small_pairs(held.filter("short"), MIN_SHARED)]
     large = held.filter(F.col("n") > PAIRS_UP_TO)
     if large.isEmpty():
-        return verified(stage(spark, enough([small_pairs(held, 1)]), "dedup-pairs"))
+        return verified(stage(spark, enough(small), "dedup-pairs"))
     of = stage(spark, centres(large), "dedup-centres")
-    pairs = stage(spark, enough([small_pairs(held, 1), with_centres(large, of)]), "dedup-pairs")
+    pairs = stage(spark, enough([*small, with_centres(large, of)]), "dedup-pairs")
     found = verified(pairs)
-    left = stage(spark, stragglers(large, of, found), "dedup-stragglers")
+    left = stage(spark, stragglers(large.drop("short"), of, found), "dedup-stragglers")
     if not left.isEmpty():
         more = stage(spark, second_pairs(left, large, sketches).join(pairs, ["a", "b"], "left_anti"), "dedup-pairs")
         found, pairs = found.unionByName(verified(more)), pairs.unionByName(more)

@@ -129,6 +129,21 @@ def test_pairs_in_small_buckets_are_all_found(spark):
     assert got == want
 
 
+def test_links_of_short_texts_are_exact(spark):
+    r = random.Random(4)
+    vocab = vocabulary(r)
+    made = []
+    for n in (8, 9, 10, 12, 16):
+        for _ in range(12):
+            w = r.choices(vocab, k=n)
+            made += [w, [*w, r.choice(vocab)], [r.choice(vocab), *w]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)]
+    links = dedup.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda t: hashlib.md5(t.encode()).digest()
+    want = {tuple(sorted((key(a), key(b)))) for a, b in brute_links(rows)}
+    assert len(want) >= 120 and {(bytes(x.a), bytes(x.b)) for x in links} == want
+
+
 def test_classes_of_large_groups_are_whole(spark):
     r = random.Random(21)
     vocab = vocabulary(r)
