@@ -7,8 +7,10 @@ classes of up to CLASS members, and P(token) = P(class | state) P(entry | class,
 token's smoothed share of its shape by corpus counts.  An unseen token takes its shape's share of a single
 unseen word, as in the base.
 
-The recurrent weights are trained in numpy by backpropagation through windows of WINDOW tokens, the state carried on, over
-at most SAMPLE training texts chosen by a hash of their ids.  Scoring carries the state across windows too, so a text's
+The recurrent weights are trained in numpy by backpropagation through windows of WINDOW tokens, the state carried on.  They
+start from STEPS steps over the first tokens of at most SAMPLE texts chosen by a hash of their ids; then every token of all training texts
+is learned from once: each task goes on from there over its texts, and the tasks' weights are averaged by their tokens, in two levels of
+partial sums.  Scoring carries the state across windows too, so a text's
 log-probability is that of the whole text.  Counts of the most frequent tokens, KNOWN at most, travel with the tasks; those of the
 others are joined in by a shuffle.
 
@@ -37,9 +39,11 @@ EMBED, HIDDEN = 24, 32
 WINDOW = 32
 #: Lanes and window of scoring.
 LANES, SPAN = 192, 64
-#: Training texts of the recurrent weights at most, and steps over them.
+#: Texts that the recurrent weights start from, at most, and steps over them.
 SAMPLE = 1500
 STEPS = 500
+#: Lanes of a task that learns from its texts, tokens of a lane at a time, and its rate.
+LEARN_LANES, LEARN_SPAN, LEARN_RATE = 192, 512, 0.002
 #: Distinct tokens that a counting task holds before it passes them on.
 HOLD = 400_000
 
@@ -253,39 +257,70 @@ class Network:
             part = lane[at : at + WINDOW + 1]
             x, y = part[:-1], part[1:]
             at += WINDOW
-            table, keep, g = self.prepare(), [], {}
-            states, h_next = self.run(x, h, table, keep)
-            logp, dh = self.log_probs(states.reshape(-1, HIDDEN), y.reshape(-1), g)
-            n = len(logp)
-            recent = [*recent[-19:], -logp.mean()]
-            dh = dh.reshape(states.shape)
-            g["U"], dx, nxt = np.zeros_like(self.p["U"]), np.empty((len(x), x.shape[1], 3 * HIDDEN), np.float32), 0.0
-            for t in range(len(x) - 1, -1, -1):
-                h0, z, r, c, gn = keep[t]
-                d = dh[t] + nxt
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (h0 - c) * z * (1 - z)
-                dr = dc * gn * r * (1 - r)
-                gate = np.concatenate([dz, dr, dc * r], axis=1)
-                dx[t] = np.concatenate([dz, dr, dc], axis=1)
-                g["U"] += h0.T @ gate
-                nxt = d * z + gate @ self.p["U"].T
-            flat, ids = dx.reshape(-1, 3 * HIDDEN), x.reshape(-1)
-            g["b"] = flat.sum(axis=0)
-            g["W"] = self.p["E"][ids].T @ flat
-            g["E"] = np.zeros_like(self.p["E"])
-            np.add.at(g["E"], ids, flat @ self.p["W"].T)
-            norm = math.sqrt(sum(float((x * x).sum()) for x in g.values())) / n
-            clip = min(1.0, 1.0 / (norm + 1e-9)) / n
-            lr = rate * min(1.0, step / 20) * (0.05 ** (step / steps))
-            for k, x_ in g.items():
-                q = x_ * clip
-                m[k] += 0.1 * (q - m[k])
-                v[k] += 0.01 * (q * q - v[k])
-                self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-            h = h_next
+            loss, h = self.step(x, y, h, m, v, step, rate * min(1.0, step / 20) * (0.05 ** (step / steps)))
+            recent = [*recent[-19:], loss]
         return float(np.mean(recent))
 
+    def step(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, m: dict, v: dict, step: int, lr: float) -> tuple[float, np.ndarray]:
+        """One of Adam's steps, on a window from states h; its mean loss and the states after it."""
+        table, keep, g = self.prepare(), [], {}
+        states, h_next = self.run(x, h, table, keep)
+        logp, dh = self.log_probs(states.reshape(-1, HIDDEN), y.reshape(-1), g)
+        n = len(logp)
+        dh = dh.reshape(states.shape)
+        g["U"], dx, nxt = np.zeros_like(self.p["U"]), np.empty((len(x), x.shape[1], 3 * HIDDEN), np.float32), 0.0
+        for t in range(len(x) - 1, -1, -1):
+            h0, z, r, c, gn = keep[t]
+            d = dh[t] + nxt
+            dc = d * (1 - z) * (1 - c * c)
+            dz = d * (h0 - c) * z * (1 - z)
+            dr = dc * gn * r * (1 - r)
+            gate = np.concatenate([dz, dr, dc * r], axis=1)
+            dx[t] = np.concatenate([dz, dr, dc], axis=1)
+            g["U"] += h0.T @ gate
+            nxt = d * z + gate @ self.p["U"].T
+        flat, ids = dx.reshape(-1, 3 * HIDDEN), x.reshape(-1)
+        g["b"] = flat.sum(axis=0)
+        g["W"] = self.p["E"][ids].T @ flat
+        g["E"] = np.zeros_like(self.p["E"])
+        np.add.at(g["E"], ids, flat @ self.p["W"].T)
+        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values())) / n
+        clip = min(1.0, 1.0 / (norm + 1e-9)) / n
+        for k, x_ in g.items():
+            q = x_ * clip
+            m[k] += 0.1 * (q - m[k])
+            v[k] += 0.01 * (q * q - v[k])
+            self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        return -float(logp.mean()), h_next
+
+    def learn(self, streams: Iterator[np.ndarray], end: int, lanes: int = LEARN_LANES, rate: float = LEARN_RATE) -> int:
+        """Adam over windows of all texts' entries, each a target once; returns their number."""
+        m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        held, size, step, seen = [np.array([end])], 1, 0, 0
+
+        def spend(stream: np.ndarray, lanes: int) -> np.ndarray:
+            nonlocal step, seen
+            per = (len(stream) - 1) // lanes
+            at = np.arange(per + 1)[:, None] + per * np.arange(lanes)
+            h = np.zeros((lanes, HIDDEN), np.float32)
+            for a in range(0, per, WINDOW):
+                part, step = stream[at[a : a + WINDOW + 1]], step + 1
+                _, h = self.step(part[:-1], part[1:], h, m, v, step, rate * min(1.0, step / 20))
+                seen += part[1:].size
+            return stream[lanes * per :]
+
+        for text in streams:
+            for a in range(0, len(text), lanes * LEARN_SPAN):
+                held.append(text[a : a + lanes * LEARN_SPAN])
+                size += len(held[-1])
+                if size > lanes * LEARN_SPAN:
+                    held = [spend(np.concatenate(held), lanes)]
+                    size = len(held[0])
+        rest = np.concatenate(held)
+        while len(rest) > 1:
+            rest = spend(rest, max(1, min(lanes, (len(rest) - 1) // WINDOW)))
+        return seen
+
     def score(self, texts: list[np.ndarray], end: int, lanes: int = LANES) -> np.ndarray:
         """Natural log-probability of each whole text.  Texts take turns in the lanes, the longest first; each
         starts from the zero state after an end, and keeps its state from window to window."""
@@ -323,6 +358,43 @@ class Network:
                     doc[k] = -1
 
 
+def learn_all(texts: DataFrame, vocabulary: Vocabulary, network: Network) -> int:
+    """Let the network learn from the whole column `text`, on Spark; returns the number of tokens."""
+    held = texts.sparkSession.sparkContext.broadcast((vocabulary, network.p))
+    schema = pa.schema([("n", pa.int64()), ("w", pa.binary())])
+
+    def row(n: int, w: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, start = held.value
+        own = Network(vocabulary.start, vocabulary.klass)
+        own.p = {k: w.copy() for k, w in start.items()}
+        n = own.learn((vocabulary.read(t.as_py() or "")[0] for b in batches for t in b.column(0)), vocabulary.end)
+        if n:
+            yield row(n, np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype(np.float64) * n)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for b in batches:
+            for k, w in zip(*(c.to_pylist() for c in b.columns)):
+                n, total = n + k, total + np.frombuffer(w)
+        if n:
+            yield row(n, total)
+
+    tasks = stage(texts.sparkSession, texts.select("text").mapInArrow(run, "n long, w binary"), "lm-weights")
+    few = max(1, math.isqrt(tasks.count()))
+    n, total = 0, 0.0
+    for r in tasks.repartition(few).mapInArrow(add, "n long, w binary").toLocalIterator():
+        n, total = n + r["n"], total + np.frombuffer(bytes(r["w"]))
+    at = 0
+    for k in sorted(network.p) if n else ():
+        size = network.p[k].size
+        network.p[k] = (total[at : at + size] / n).reshape(network.p[k].shape).astype(np.float32)
+        at += size
+    return n
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, known: int = KNOWN,
         steps: int = STEPS) -> tuple[Vocabulary, Network, DataFrame]:
     """The vocabulary, the trained network, and all counts (token, c) of the training texts."""
@@ -341,10 +413,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
     first = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = train.join(F.broadcast(first.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
     stream = [np.array([vocabulary.end])]
-    for r in texts.select("text").toLocalIterator():
+    for r in texts.select("text").toLocalIterator():  # a start only: learn_all reads all of every text
         stream.append(vocabulary.read(r["text"] or "")[0][:4 * WINDOW * STEPS])
     network = Network(vocabulary.start, vocabulary.klass)
     network.train(np.concatenate(stream), vocabulary.end, steps)
+    learn_all(train, vocabulary, network)
     return vocabulary, network, counts
 
 

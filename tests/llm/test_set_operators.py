@@ -300,6 +300,19 @@ def test_network_is_a_distribution():
     assert abs(np.exp(logp).sum() - 1) < 1e-5
 
 
+def test_network_learns_from_every_token(spark):
+    words, r, nets = [f"w{i % 40}" for i in range(70_000)], random.Random(3), []
+    tail = words[66_000:]
+    r.shuffle(tail)
+    for text in (" ".join(words), " ".join(words[:66_000] + tail)):  # equal counts; only what follows 66,000 tokens differs
+        v, net, _ = lm.fit(spark.createDataFrame([(i, text) for i in range(1, 3)], "doc_id long, text string").coalesce(1), steps=3)
+        nets.append(net)
+    assert any(not np.allclose(nets[0].p[k], nets[1].p[k], atol=1e-6) for k in nets[0].p)
+    v, net = network()
+    streams = [np.full(n, 3) for n in (5, 1, 7000, 33, 2)]
+    assert net.learn(iter(streams), v.end, lanes=4) == 7041
+
+
 def test_network_gradient():
     v, net = network()
     stream = np.random.default_rng(2).integers(0, v.size, 200)
