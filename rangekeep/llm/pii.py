@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) are the leftmost, non-overlapping matches of
 their check.  The network finds written-around forms besides ("name [at] host dot com", "1[.]2[.]3[.]4"): it reads
 overlapping windows of a text, their emissions are averaged where windows overlap, and one Viterbi pass over
 each covered stretch reconciles them.  A span, cut at words' ends, counts if it reads as its kind once
-marks are undone, and overlaps no base span.  Every form needs a digit, an at sign or a bracketed "at" or "dot"; windows without any such
-trigger outside base spans cannot hold one and are not read.
+marks are undone, and overlaps no base span.  Every form that reads as its kind needs a digit, an at sign or the word "at", in brackets or bare; windows
+without any such trigger outside base spans cannot hold one and are not read.
 
 The network is trained in numpy from labelled spans: texts' own windows, with their base spans as labels, into which further
 forms of known extent are written.  Contexts come from at most SAMPLE texts chosen by a hash of the id.
@@ -32,7 +32,8 @@ AT_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[({<] ?(?:at|dot) ?[\])}>]", re.I)
+#: What every form that reads_as accepts holds: a digit, an at sign, or an "at" that is a word.
+TRIGGER = re.compile(r"[0-9@]|\b(?:at|AT)\b|(?i:[\[({<]\s*(?:at|dot)\s*[\])}>])")
 
 WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN = 10, 16
@@ -246,7 +247,7 @@ def made_up(r: random.Random) -> tuple[str, str]:
     word = lambda a, b: "".join(r.choice("abcdefghijklmnoprstuvwyz") for _ in range(r.randint(a, b)))
     if kind == "email":
         at, dot = r.choice([("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("[at]", "."), ("(at)", "(dot)"), (" @ ", "."),
-                            (" {at} ", " {dot} "), (" <at> ", " <dot> ")])
+                            (" {at} ", " {dot} "), (" <at> ", " <dot> "), *[(" at ", " dot ")] * 3, (" AT ", " dot "), (" [ at ] ", " [ . ] ")])
         name = word(3, 8) + r.choice(["", "", ".", "_"] ) + r.choice(["", word(2, 6), str(r.randint(1, 99))])
         return kind, name.rstrip("._") + at + dot.join([word(4, 9), *([word(3, 7)] if r.random() < 0.3 else []), r.choice(["com", "org", "net", "de"])])
     if kind == "ip":

@@ -126,6 +126,26 @@ def test_tagger_finds_forms(tagger):
     assert pii.tag_texts(tagger, ["plain words without any digit, " * 50], [[]]) == [[]]
 
 
+def test_pii_reads_all_that_may_be_a_form():
+    for form in ("john at example dot com", "jane AT example dot org", "jane [ at ] example [ . ] org", "jo[  at  ]x[.]org", "jo\tat\tx dot de"):
+        assert pii.reads_as("email", form) and pii.needed("plain words " + form, [])
+    r = random.Random(2)
+    parts = ["at", "AT", "At", "dot", "DOT", "[", "]", "(", ")", " ", "  ", "\n", "@", ".", "jo", "x", "com", "7", "_", "é", "-"]
+    read = 0
+    for _ in range(400_000):
+        s = "".join(r.choice(parts) for _ in range(r.randint(3, 9)))
+        if any(pii.reads_as(k, s) for k in pii.KINDS):
+            read += 1
+            assert pii.TRIGGER.search(s), s
+    assert read > 100
+
+
+def test_tagger_finds_bare_forms(tagger):
+    forms = ["john at example dot com", "jane AT example dot org", "maria [ at ] example [ . ] org", "peter at network dot de"]
+    texts = ["the of and to in that " * 4 + f + " is was he for it " * 4 for f in forms]
+    assert sum(any(k == "email" for k, _, _ in found) for found in pii.tag_texts(tagger, texts, [[]] * len(texts))) >= 2
+
+
 def test_pii_rows(spark, tagger):
     got = pii.detect(clashing(spark), tagger=tagger)
     assert got.count() == 10 and got.select(F.sum(F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone"))).first()[0] == 0
