@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 from typing import Iterator
 
 import pyarrow as pa
@@ -11,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.storage import stage
+from ..functions import storage
 
-__all__ = ["ascii_lower", "bucket", "fields", "free_name", "small_batches", "span_text", "stage", "table", "text_udf", "without", "words"]
+__all__ = ["ascii_lower", "bucket", "fields", "free_name", "span_text", "stage", "table", "text_udf", "without", "words"]
 
 #: A-Z to a-z only; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,15 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch of whole texts, and the setting's default, which gives way to it.
-BATCH_ROWS, DEFAULT_ROWS = 1_000, "10000"
+#: Bytes of an Arrow batch while a table is staged.
+BATCH_BYTES = "8m"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts may be long, so Arrow batches hold fewer of them from now on; a session's own setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == DEFAULT_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder.  Rows may be long, so Arrow batches are small while it is written; then the session has its
+    own setting again."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_BYTES)
+    try:
+        return storage.stage(spark, df, name)
+    finally:
+        spark.conf.set(setting, own)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -101,9 +108,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is not in the first column of ids; a null id is dropped by a null."""
-    gone = free_name(docs, "gone")
-    ids = ids.toDF(gone).distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(ids[gone]), "left_anti")
+def without(docs: DataFrame, gone: DataFrame, *by: str, keep: bool = False) -> DataFrame:
+    """The rows of docs whose columns `by` are not among the rows of gone, which has as many columns; nulls equal nulls.  keep:
+    those that are."""
+    names = [free_name(docs, f"gone{i}") for i in range(len(by))]
+    gone = gone.toDF(*names).distinct()
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    same = reduce(and_, (docs[f"`{c}`"].eqNullSafe(gone[n]) for c, n in zip(by, names, strict=True)))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_semi" if keep else "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import NOT_WORD, ascii_lower, stage, without
+from .common import NOT_WORD, ascii_lower, free_name, stage, without
 
 WINDOW = 13
 #: A document is contaminated if hits make up one word in so many, or more.
@@ -52,8 +52,8 @@ def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, window: in
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+         item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, with_key: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with_key: and th, a hash of the text."""
     spark = docs.sparkSession
     items = stage(spark, benchmark_items(benchmark, item_id_col, item_text_col, window), "decontam-items")
     shingles = items.select(
@@ -119,17 +119,19 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     out = every.join(hit, every["doc_id"].eqNullSafe(hit["doc_id"]) & every["th"].eqNullSafe(hit["th"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return out.select(
-        every["doc_id"], F.col("n").cast("bigint").alias("n_words"), n_hit.alias("n_hit"),
+        every["doc_id"], *([every["th"]] if with_key else []), F.col("n").cast("bigint").alias("n_words"), n_hit.alias("n_hit"),
         F.greatest(F.size("ids"), F.lit(0)).cast("bigint").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * SHARE >= F.col("n"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs less the contaminated ones, whole and unchanged.  Ids name rows here: a contaminated
-    text takes all rows of its id along."""
-    found = find(docs, benchmark, id_col, text_col).filter("contaminated").select("doc_id")
-    return without(docs, stage(docs.sparkSession, found, "decontam-contaminated"), id_col)
+    """The rows of docs less the contaminated ones, whole and unchanged.  Rows are told apart by id and text, so texts that share an id
+    are judged each for itself."""
+    found = find(docs, benchmark, id_col, text_col, with_key=True).filter("contaminated").select("doc_id", "th")
+    key = free_name(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col)))
+    return without(keyed, stage(docs.sparkSession, found, "decontam-contaminated"), id_col, key).drop(key)
 
 
 #: The same as find() for the test tables.

@@ -2,20 +2,22 @@
 
 Texts are word sequences (the word rule of `common`); shingles are five words, labelled with their occurrence
 number.  For each of BANDS hash functions a sketch keeps the PICK smallest labelled shingles in text order, so
-equal entries mean the same shingles in the same order.  Equal texts are collapsed first.  In a bucket (band, entry)
-of at most PAIRS_UP_TO texts all pairs are candidates; in a larger one each text pairs with the bucket's centres
-(those whose entries are the commonest, and one by a hash).  Texts that no centre of such a bucket links pair with SLICES
-further ones of it, and among themselves, in buckets split by the next entries of their sketches, level by level.  That only
-saves work: then all pairs of every large bucket that are not in one class by then meet, block by block, and those that share
-MIN_SHARED entries become candidates too.  Candidates that share MIN_SHARED entries are verified: their labelled
-shingles are aligned in order, within the band of offsets that the threshold leaves, and
-matched / (all - matched) must reach THRESHOLD.  Classes are the connected components of the links; they are those of all
-candidates in buckets of any size.  Only pairs within a class that is joined already stay unmeasured, so n_links_measured
-is a lower bound of a text's links where its buckets are large, and their number elsewhere.
+equal entries mean the same shingles in the same order.  Equal texts are collapsed first.  Two texts are candidates if they
+share MIN_SHARED entries, and a candidate is verified: labelled shingles are aligned in order, within the band of offsets that
+the threshold leaves, and matched / (all - matched) must reach THRESHOLD.  Classes are the connected components of the links.
 
 Texts of at most SHORT shingles are also found by a prefix-filtered join: they and those that they can reach have an entry for each
 of their n - ceil(threshold n) + 1 rarest labelled shingles, and one such entry shared makes a candidate; so their links are exact.
 Expected recall of a pair of longer texts at similarity s is 1 - (1-p)^B - B p (1-p)^(B-1), p = s^PICK: over 0.9999 at 0.8.
+
+Hot buckets.  In a bucket (band, entry) of at most PAIRS_UP_TO texts all pairs are candidates.  In a larger one each text first meets the
+bucket's centres (those whose entries are the commonest, and one by a hash), which joins most texts of a group; that only saves
+work.  Then every large bucket that holds more than one class by then is opened: its texts outside its largest class are attached to
+that class, and all texts attached to a class meet each other and all its members, whatever their number.  Such
+meetings are dealt to tasks in blocks of BLOCK_TEXTS texts and BLOCK_WORDS words, about; in a block, shared shingles are counted for all pairs at once,
+and pairs that can reach the threshold and are not joined yet are aligned.  So classes are those of all candidates, in groups of any
+size, and no task holds more than two blocks.  The worst case, many texts of one bucket that are no links, compares them all.
+
 Null texts count as empty; texts without words are linked only to equal texts.  Shorter texts than five words are one
 shingle.  Rows with null ids take part; a class's id is its least non-null id.  Rows repeated in full are copies.
 """
@@ -25,10 +27,10 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, without
+from .common import free_name, stage, without
 from .decontam import split_words
 
 SHINGLE = 5
@@ -39,10 +41,10 @@ MIN_SHARED = 2
 PAIRS_UP_TO = 24
 #: Shingles up to which chance would lose pairs: such texts are found exactly.
 SHORT = 56
-LEVELS = 3
-SLICES = 16
-#: Texts of a bucket, about, that meet in one block.
-BLOCK = 64
+#: Texts and words, about, of a block of texts that meet another block.
+BLOCK_TEXTS, BLOCK_WORDS = 512, 1 << 17
+#: Shingles that are counted at once in a block.
+COLUMNS = 4096
 #: Ids up to which a list of documents is broadcast, as counted.
 BROADCAST_ROWS = 100_000
 
@@ -147,14 +149,14 @@ def _sketch_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa
 
 
 def prefixes(sketches: DataFrame, threshold: float) -> DataFrame:
-    """(k, v, b): entries for the rarest shingles of short texts, so many that two texts at the threshold share one.  What occurs
+    """(k, b): entries for the rarest shingles of short texts, so many that two texts at the threshold share one.  What occurs
     once is left out, as nothing shares it."""
     each = sketches.filter(F.size("shingles") > 0).select("k", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = each.groupBy("s").agg(F.count("*").alias("c"))
     order = F.array_sort(F.collect_list(F.struct("c", "s")))
     first = each.join(counts, "s").groupBy("k", "n").agg(order.alias("all")).select(
         "k", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("p"))
-    return first.filter("p.c > 1").select("k", F.col("p.s").alias("v"), F.xxhash64("p.s", F.lit("short")).alias("b"))
+    return first.filter("p.c > 1").select("k", F.xxhash64("p.s", F.lit("short")).alias("b"))
 
 
 def _similar_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -162,12 +164,6 @@ def _similar_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[p
         yield pa.array([similarity(labelled_shingles(x), labelled_shingles(y)) for x, y in zip(_lists(a), _lists(b))], pa.float64())
 
 
-def buckets(spark: SparkSession, members: DataFrame, name: str) -> DataFrame:
-    """Members (k, v, b, and others) of buckets b that hold two texts or more, with their number n."""
-    counts = members.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1")
-    return stage(spark, members.join(counts, "b"), name)
-
-
 def small_pairs(held: DataFrame, shared: int) -> DataFrame:
     """All pairs of each small bucket."""
     small = held.filter(F.col("n") <= PAIRS_UP_TO).groupBy("b").agg(F.collect_list("k").alias("ks"))
@@ -181,17 +177,16 @@ def ranked(large: DataFrame) -> DataFrame:
 
 
 def centres(large: DataFrame) -> DataFrame:
-    """(b, c): up to three texts of each large bucket, the same ones over many buckets where they can be."""
+    """(b, cs): up to three texts of each large bucket, the same ones over many buckets where they can be."""
     orders = [F.struct(-F.col("common"), F.col("k")), F.struct(-F.floor(2 * F.log2("common")), F.xxhash64("k"), F.col("k")),
               F.struct(F.xxhash64("k", F.lit(1)), F.col("k"))]
     first = ranked(large).groupBy("b").agg(*[F.min(o).alias(f"c{s}") for s, o in enumerate(orders)])
-    return first.select("b", F.explode(F.array_distinct(F.array(*[F.col(f"c{s}.k") for s in range(len(orders))]))).alias("c"))
+    return first.select("b", F.array_distinct(F.array(*[F.col(f"c{s}.k") for s in range(len(orders))])).alias("cs"))
 
 
 def with_centres(members: DataFrame, of: DataFrame) -> DataFrame:
-    """Members with the centres (b, c) of their buckets; a text meets a centre once, however many buckets hold both."""
-    each = of.groupBy("b").agg(F.collect_list("c").alias("cs"))  # SLICES at most
-    met = members.select("k", "b").join(each, "b").groupBy("k").agg(F.array_distinct(F.flatten(F.collect_set("cs"))).alias("cs"))
+    """Members with the centres (b, cs) of their buckets; a text meets a centre once, however many buckets hold both."""
+    met = members.join(of, "b").groupBy("k").agg(F.array_distinct(F.flatten(F.collect_set("cs"))).alias("cs"))
     pairs = met.select("k", F.explode("cs").alias("c")).filter("k != c")
     return pairs.select(F.least("k", "c").alias("x"), F.greatest("k", "c").alias("y"), F.lit(MIN_SHARED).alias("shared"))
 
@@ -205,34 +200,6 @@ def enough(found: list[DataFrame]) -> DataFrame:
     return shared.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def stragglers(large: DataFrame, of: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (k, v, b, n) of large buckets that are linked to none of the bucket's centres, nor one of them."""
-    both = links.select(F.col("a").alias("k"), F.col("b").alias("c")).union(links.select(F.col("b").alias("k"), F.col("a").alias("c")))
-    reached = both.join(of, "c").select("k", "b").union(of.select(F.col("c").alias("k"), "b"))
-    return large.join(reached, ["k", "b"], "left_anti")
-
-
-def second_pairs(left: DataFrame, large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Candidates for stragglers: the most central text of each of SLICES slices of their buckets, and each other, in
-    buckets of their own, which are split by the entries that follow in their sketches while they are large."""
-    spark = left.sparkSession
-    sliced = ranked(large.join(left.select("b").distinct(), "b", "left_semi")).groupBy("b", F.pmod(F.xxhash64("k", F.lit(2)), F.lit(SLICES)).alias("slice")).agg(
-        F.min(F.struct(-F.col("common"), F.col("k"))).alias("c")).select("b", "c.k").withColumnRenamed("k", "c")
-    found = [with_centres(left.select("k", "b"), sliced)]
-    held = buckets(spark, left.select("k", "v", "b"), "dedup-stragglers-0")
-    for level in range(LEVELS):
-        found.append(small_pairs(held, level + 1))
-        large = held.filter(F.col("n") > PAIRS_UP_TO)
-        if large.isEmpty():
-            break
-        found.append(with_centres(large, centres(large)))
-        if level + 1 < LEVELS:
-            place = (F.array_position("sketch", F.col("v")) + level) % BANDS + 1
-            deeper = large.join(sketches, "k").select("k", "v", F.xxhash64("b", F.element_at("sketch", place.cast("int"))).alias("b"))
-            held = buckets(spark, deeper, f"dedup-stragglers-{level + 1}")
-    return enough(found)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(k, root) for each end of the edges (a, b): the least k of its component.  Labels go to neighbours and
     then along the labels themselves, so rounds grow with the logarithm of the longest path."""
@@ -251,113 +218,165 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _crossing_batches(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    """For each bucket's two blocks of texts (k, root, length, sketch, large): the pairs of them that share MIN_SHARED entries, have
-    different roots and lengths that allow the threshold, and have this bucket as the first large one that they share.  In a bucket of
-    short texts' entries all pairs share enough."""
-    for bucket, short, threshold, left, right in batches:
-        rows = []
-        for b, one, least, *both in zip(bucket.to_pylist(), short.to_pylist(), threshold.to_pylist(), left, right):
-            (kx, rx, nx, sx, lx), (ky, ry, ny, sy, _) = ((
-                x.field("k").to_pylist(), np.frombuffer(b"".join(x.field("root").to_pylist()), "S16"), x.field("length").to_numpy(),
-                np.stack([*_lists(x.field("sketch"))]).view(np.int64), np.array(x.field("large").to_pylist(), bool)) for x in (o.values for o in both))
-            same = sx[:, None, :] == sy[None, :, :]
-            met = (one | (same.sum(axis=2) >= MIN_SHARED)) & (rx[:, None] != ry[None, :])
-            met &= np.minimum(nx[:, None], ny[None, :]) >= least * np.maximum(nx[:, None], ny[None, :])
-            i, j = np.nonzero(met)
-            first = (same[i, j] & lx[i]).argmax(axis=1)
-            here = one | (sx[i, first] == b)
-            rows.append([{"a": min(kx[p], ky[q]), "b": max(kx[p], ky[q])} for p, q in zip(i[here].tolist(), j[here].tolist())])
-        yield pa.array(rows, pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))
-
-
-def crossing_pairs(large: DataFrame, sketches: DataFrame, words: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Candidates (a, b) of large buckets whose ends no link joins yet, directly or through others: all of them.  In a bucket, texts
-    outside its largest class meet all its texts, in blocks that are dealt by bucket and slice."""
+def shared_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles each text of left shares with each of right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    values = [np.concatenate([np.empty(0, np.uint64), *texts]) for texts in (left, right)]
+    both = np.intersect1d(*values)
+    spots = []
+    for texts, every in zip((left, right), values):
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        at = np.searchsorted(both, every)
+        known = at < len(both)
+        known[known] = both[at[known]] == every[known]
+        order = np.argsort(at[known], kind="stable")
+        spots.append((row[known][order], at[known][order]))
+    for a in range(0, len(both), COLUMNS):
+        dense = []
+        for texts, (row, at) in zip((left, right), spots):
+            lo, hi = np.searchsorted(at, (a, a + COLUMNS))
+            d = np.zeros((len(texts), min(COLUMNS, len(both) - a)), np.float32)
+            d[row[lo:hi], at[lo:hi] - a] = 1
+            dense.append(d)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def block_links(left: pa.Table, right: pa.Table, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links that join the different roots of two blocks of texts (k, root, w), as pairs of roots: all but those between
+    roots that other links of the blocks join already."""
+    sides = []
+    for t in (left, right):
+        texts = [labelled_shingles(w) for c in t["w"].chunks for w in _lists(c)]
+        sides.append((texts, t["root"].to_pylist(), np.array([len(x) for x in texts])))
+    (xs, rx, nx), (ys, ry, ny) = sides
+    number = {r: i for i, r in enumerate(dict.fromkeys([*rx, *ry]))}
+    of = np.arange(len(number))
+    ix, iy = (np.array([number[r] for r in rs], np.int64) for rs in (rx, ry))
+    shared = shared_shingles(xs, ys)
+    near = (shared * (1 + threshold) >= threshold * (nx[:, None] + ny[None, :]) - 1e-6) & (ix[:, None] != iy[None, :])
+    i, j = np.nonzero(near)
+    out, order = [], np.argsort(-shared[i, j] / (nx[i] + ny[j]), kind="stable")
+    for p, q in zip(i[order].tolist(), j[order].tolist()):
+        a, b = of[ix[p]], of[iy[q]]
+        if a != b and similarity(xs[p], ys[q], threshold) >= threshold:
+            out.append((min(rx[p], ry[q]), max(rx[p], ry[q])))
+            of[of == b] = a
+    return out
+
+
+def crossing_links(large: DataFrame, words: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Links between classes (a, b: roots) that share a large bucket: all that are needed to join what candidates join.  See above."""
     spark = large.sparkSession
-    members = stage(spark, large.select("k", "b", "short").join(components(found), "k", "left").select("k", "b", "short", F.coalesce("root", "k").alias("root")), "dedup-members")
+    members = stage(spark, large.select("k", "b").join(roots, "k", "left").select("k", "b", F.coalesce("root", "k").alias("root")), "dedup-members")
     sizes = members.groupBy("b", "root").agg(F.count("*").alias("n"))
-    of = sizes.groupBy("b").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
-    of = of.select("b", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("all"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("outer"))
-    open_ = members.join(of, "b")
-    texts = sketches.join(large.groupBy("k").agg(F.collect_set("b").alias("bs")), "k").join(words.select("k", F.greatest(F.size("w") - SHINGLE + 1, F.lit(1)).alias("length")), "k")
-    texts = texts.select("k", "length", "sketch", F.transform("sketch", lambda v: F.array_contains("bs", v)).alias("large"))
-    open_ = stage(spark, open_.join(texts, "k"), "dedup-open")
-    one = F.collect_list(F.struct("k", "root", "length", "sketch", "large"))
-    slice_ = lambda n, seed: F.pmod(F.xxhash64("k", F.lit(seed)), n)
-    inner = open_.groupBy("b", slice_(F.col("all"), 3).alias("j")).agg(one.alias("right"))
-    outer = open_.filter("root != main").groupBy("b", "short", "all", slice_(F.col("outer"), 4).alias("i")).agg(one.alias("left"))
-    blocks = outer.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all") - 1))).join(inner, ["b", "j"])
-    cross = F.arrow_udf(_crossing_batches, "array<struct<a:binary,b:binary>>").asNondeterministic()
-    pairs = blocks.select(cross("b", "short", F.lit(float(threshold)), "left", "right").alias("ps"))
-    return pairs.select(F.explode("ps").alias("p")).select("p.a", "p.b").distinct()
-
-
-def links(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts, by their keys (md5 of the text)."""
+    of = sizes.groupBy("b").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    of = stage(spark, of, "dedup-open")
+    outer = members.alias("m").join(of.alias("o"), (F.col("m.b") == F.col("o.b")) & (F.col("root") != F.col("main"))).select("k", "root", "main").distinct()
+    outer = stage(spark, outer, "dedup-outer")
+    mains = outer.select("main").distinct()
+    inner = roots.join(mains, F.col("root") == F.col("main"), "left_semi").select("k", "root", F.col("root").alias("main"))
+    alone = mains.join(roots.select(F.col("k").alias("main")), "main", "left_anti")  # a class of one text
+    inner = inner.unionByName(alone.select(F.col("main").alias("k"), F.col("main").alias("root"), "main"))
+    every = outer.withColumn("out", F.lit(True)).unionByName(inner.withColumn("out", F.lit(False))).join(words, "k")
+    every = stage(spark, every, "dedup-meeting")
+
+    def blocks(out: bool):
+        some = F.when(F.col("out") == F.lit(out), 1)
+        return F.greatest(F.ceil(F.count(some) / BLOCK_TEXTS), F.ceil(F.coalesce(F.sum(some * F.size("w")), F.lit(0)) / BLOCK_WORDS)).cast("int")
+
+    # blocks of a class's members are 0..inner-1, those of texts attached to it the next ones; the latter meet all before and themselves
+    counts = stage(spark, every.groupBy("main").agg(blocks(True).alias("outer"), blocks(False).alias("inner")), "dedup-blocks")
+    every = every.join(counts, "main").withColumn("s", F.when(F.col("out"), F.col("inner") + F.pmod(F.xxhash64("k"), F.col("outer"))).otherwise(F.pmod(F.xxhash64("k"), F.col("inner"))).cast("int"))
+    first, last = F.col("inner"), F.col("inner") + F.col("outer") - 1
+    left = every.filter("out").select("main", F.col("s").alias("i"), F.explode(F.sequence(F.lit(0), F.col("s"))).alias("j"), "root", "w")
+    right = every.select("main", F.explode(F.sequence(F.greatest(F.col("s"), first), last)).alias("i"), F.col("s").alias("j"), "root", "w")
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from one table
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = block_links(x, y, threshold) if len(x) and len(y) else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    keys = ["main", "i", "j"]
+    return stage(spark, left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "a binary, b binary").distinct(), "dedup-crossing")
+
+
+def links(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
+    """Verified links (a, b, similarity) between different texts, by their keys (md5 of the text); and where there are large buckets, the
+    classes (k, root) that they and the links across large buckets make."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.unhex(F.md5("text")))
     make = F.arrow_udf(_sketch_batches, "struct<sketch:array<bigint>,shingles:array<bigint>>").asNondeterministic()
     most = F.lit(int(SHORT / threshold + 1e-9))
     each = stage(spark, texts.select("k", make(word_hashes(F.col("text")), most).alias("made")).select("k", "made.*"), "dedup-sketches")
     sketches = stage(spark, each.filter(F.size("sketch") > 0).dropDuplicates(["k"]), "dedup-distinct")
-    entries = sketches.select("k", F.explode("sketch").alias("v")).withColumn("b", F.col("v")).withColumn("short", F.lit(False))
+    entries = sketches.select("k", F.explode("sketch").alias("b")).withColumn("short", F.lit(False))
     entries = entries.unionByName(prefixes(sketches, threshold).withColumn("short", F.lit(True)))
-    held = buckets(spark, entries, "dedup-buckets")
+    counts = stage(spark, entries.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1"), "dedup-counts")
+    held = stage(spark, entries.join(counts, "b"), "dedup-buckets")
     ends = held.select("k").distinct()
     few = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = texts.join(F.broadcast(ends) if few else ends, "k", "left_semi").dropDuplicates(["k"])
     words = stage(spark, wanted.select("k", word_hashes(F.col("text")).alias("w")), "dedup-words")
     measure = F.arrow_udf(_similar_batches, "double").asNondeterministic()
+    large = held.filter(F.col("n") > PAIRS_UP_TO)
+    crowded = not large.isEmpty()
+    pairs = [small_pairs(held.filter("not short"), 1), small_pairs(held.filter("short"), MIN_SHARED)]
+    if crowded:
+        pairs.append(with_centres(large, stage(spark, centres(large), "dedup-centres")))
+    met = stage(spark, enough(pairs), "dedup-pairs").join(words.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b").join(
+        words.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a")
+    found = stage(spark, met.select("a", "b", measure("wa", "wb").alias("similarity")).filter(F.col("similarity") >= threshold), "dedup-links")
+    roots = components(found)
+    if crowded:
+        over = components(crossing_links(large, words, roots, threshold)).toDF("old", "new")
+        # a text without links yet has no root, so it comes with the roots that are joined
+        roots = roots.union(over.select(F.col("old").alias("k"), F.col("old").alias("root")).join(roots.select("k"), "k", "left_anti"))
+        roots = roots.join(over, roots["root"] == over["old"], "left").select("k", F.coalesce("new", "root").alias("root"))
+        roots = stage(spark, roots, "dedup-roots")
+    return found, roots
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def rows_with_roots(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(doc_id, k, r) for each row of docs: the text's key, and the root of its class."""
+    spark = docs.sparkSession
+    roots = links(docs, text_col, threshold)[1].withColumnRenamed("root", "r")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("k"))
+    few = roots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return stage(spark, rows.join(F.broadcast(roots) if few else roots, "k", "left").select("doc_id", "k", F.coalesce("r", "k").alias("r")), "dedup-rows")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(words.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b").join(
-            words.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a")
-        met = met.select("a", "b", measure("wa", "wb").alias("similarity")).filter(F.col("similarity") >= threshold)
-        return stage(spark, met, "dedup-links")
 
-    small = [small_pairs(held.filter("not short"), 1), small_pairs(held.filter("short"), MIN_SHARED)]
-    large = held.filter(F.col("n") > PAIRS_UP_TO)
-    if large.isEmpty():
-        return verified(stage(spark, enough(small), "dedup-pairs"))
-    of = stage(spark, centres(large), "dedup-centres")
-    pairs = stage(spark, enough([*small, with_centres(large, of)]), "dedup-pairs")
-    found = verified(pairs)
-    left = stage(spark, stragglers(large.drop("short"), of, found), "dedup-stragglers")
-    if not left.isEmpty():
-        more = stage(spark, second_pairs(left, large, sketches).join(pairs, ["a", "b"], "left_anti"), "dedup-pairs")
-        found, pairs = found.unionByName(verified(more)), pairs.unionByName(more)
-    rest = crossing_pairs(large, sketches, words, found, threshold).join(pairs, ["a", "b"], "left_anti")
-    return found.unionByName(verified(stage(spark, rest, "dedup-pairs")))
+def with_classes(rows: DataFrame, *aggregates: Column) -> DataFrame:
+    """rows with aggregates over their classes of two rows and more; nulls for classes of one.  The classes are counted before they are
+    sent to all executors."""
+    sums = stage(rows.sparkSession, rows.groupBy("r").agg(F.count("*").alias("class_size"), *aggregates).filter("class_size > 1"), "dedup-sizes")
+    few = sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(sums) if few else sums, "r", "left")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (least id of the class), n_links_measured (links of its text to
-    other texts, of those pairs that were measured), class_size (rows)."""
-    spark = docs.sparkSession
-    found = links(docs, text_col, threshold)
-    roots = components(found).withColumnRenamed("root", "r")
-    degree = found.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links_measured"))
-    of_text = stage(spark, roots.join(degree, "k", "left"), "dedup-classes")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("k"))
-    few = of_text.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(of_text) if few else of_text, "k", "left")
-    rows = rows.select("doc_id", F.coalesce("r", "k").alias("r"), F.coalesce("n_links_measured", F.lit(0)).alias("n_links_measured"))
-    rows = stage(spark, rows, "dedup-rows")
-    # classes of one row need no table; that of the others is counted before it is sent to all executors
-    sums = rows.groupBy("r").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).filter("class_size > 1")
-    sums = stage(spark, sums, "dedup-sizes")
-    few = sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(sums) if few else sums, "r", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links_measured", F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
+    """One row for each row of docs: doc_id, class_id (least id of the class), class_size (rows)."""
+    rows = with_classes(rows_with_roots(docs, id_col, text_col, threshold), F.min("doc_id").alias("class_id"))
+    return rows.select("doc_id", F.when(F.col("class_size") > 1, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+                       F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs less all but one of each class: the one with the class's id stays, whole and unchanged.
-    Ids name rows here: of rows that repeat an id in one class, one stays."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs less all but one of each class: one with the class's id stays, whole and unchanged.  Rows are told apart by
+    id and text, so different texts that share an id are judged each for itself; of rows that repeat both, one stays."""
     spark = docs.sparkSession
-    found = classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    lost = stage(spark, found.filter("class_size > 1 and not (doc_id <=> class_id)").select("doc_id"), "dedup-lost")
-    kept = without(docs, lost, id_col)
-    twice = found.filter("doc_id <=> class_id").groupBy("doc_id").count().filter("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates([id_col])
+    rows = rows_with_roots(docs, id_col, text_col, threshold)
+    rows = with_classes(rows, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first")).filter("class_size > 1")
+    rows = stage(spark, rows.select("doc_id", "k", ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("k") == F.col("first.k"))).alias("stays")), "dedup-lost")
+    key = free_name(docs, "text_key")
+    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    kept = without(keyed, rows.filter("not stays").select("doc_id", "k"), id_col, key)
+    twice = stage(spark, rows.filter("stays").groupBy("doc_id", "k").count().filter("count > 1").select("doc_id", "k"), "dedup-twice")
+    if not twice.isEmpty():
+        once = without(kept, twice, id_col, key, keep=True).dropDuplicates([id_col, key])
+        kept = without(kept, twice, id_col, key).unionByName(once)
+    return kept.drop(key)
