@@ -3,14 +3,17 @@
 Base spans (email, ip, card, phone) are the leftmost, non-overlapping matches of four patterns, less those that fail
 their check.  The network finds written-around forms besides ("name [at] host dot com", "1[.]2[.]3[.]4"): it reads
 overlapping windows of a text, their emissions are averaged where windows overlap, and one Viterbi pass over
-each covered stretch reconciles them.  A span, cut at words' ends, counts if it reads as its kind once
-marks are undone, and overlaps no base span.  Every form that reads as its kind needs a digit, an at sign or the word "at", in brackets or bare; windows
-without any such trigger outside base spans cannot hold one and are not read.
+each covered stretch reconciles them.  Of a tagged span, all parts count that read as its kind (FORMS) once
+marks are undone, begin and end with words, and overlap no base span.
+
+All forms hold a digit, an at sign or the word "at", in brackets or bare (TRIGGER).  Windows that hold one outside base spans are read, with
+SIDE windows before and after them; no other window can hold a part that would count.
 
 The network is trained in numpy from labelled spans: texts' own windows, with their base spans as labels, into which further
 forms of known extent are written.  Contexts come from at most SAMPLE texts chosen by a hash of the id.
 
-Null or empty texts have no spans.  Repeated rows get equal spans.  Texts are read whole, however long; extra columns pass.
+Null or empty texts have no spans.  Repeated rows get equal spans.  Texts are read whole, however long, GROUP windows at a time; extra
+columns pass.
 """
 
 import math
@@ -32,16 +35,31 @@ AT_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: What every form that reads_as accepts holds: a digit, an at sign, or an "at" that is a word.
-TRIGGER = re.compile(r"[0-9@]|\b(?:at|AT)\b|(?i:[\[({<]\s*(?:at|dot)\s*[\])}>])")
+#: Written-around forms: how words may stand for the marks of a kind.  Up to eight blanks stand between two parts.
+GAP = r"\s{0,8}"
+AT_WORD = rf"(?:{GAP}[\[({{<]?{GAP}\b(?:at|AT)\b{GAP}[\])}}>]?{GAP}|{GAP}@{GAP})"
+DOT_WORD = rf"(?:{GAP}[\[({{<]{GAP}(?:dot|DOT|\.){GAP}[\])}}>]{GAP}|\s{{1,8}}(?:dot|DOT)\s{{1,8}}|\.)"
+FORMS = {
+    "email": re.compile(rf"[A-Za-z0-9._%+-]+{AT_WORD}[A-Za-z0-9-]+(?:{DOT_WORD}[A-Za-z0-9-]+)+"),
+    "ip": re.compile(rf"[0-9]{{1,3}}(?:{GAP}[\[({{]?{GAP}(?:\.|dot){GAP}[\])}}]?{GAP}[0-9]{{1,3}}){{3}}"),
+    "card": re.compile(r"[0-9](?:[ ./_-]{0,3}[0-9]){12,18}"),
+    "phone": re.compile(r"\+?\(?[0-9](?:[ ()./-]{0,4}[0-9]){8,14}"),
+}
+#: The same within a text: between words' ends.
+WITHIN = {k: re.compile(rf"(?<![^\s,;:])(?:{p.pattern})(?![A-Za-z0-9])") for k, p in FORMS.items()}
+#: What every form holds: a digit, an at sign, or an "at" that is a word.
+TRIGGER = re.compile(r"[0-9@]|\b(?:at|AT)\b")
 
 WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN = 10, 16
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 SAMPLE = 200
 STEPS, LANES = 260, 64
-#: Windows that are read together.
+#: Windows that are read together, and those before and after one with a trigger that are read too.
 GROUP = 512
+SIDE = 1
+#: Characters of stretches, about, that are decoded together.
+DECODE = 1 << 18
 
 
 def luhn(digits: str) -> bool:
@@ -67,10 +85,15 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def at_most_255(digits: str) -> bool:
+    value = digits.lstrip("0")
+    return len(value) < 3 or len(value) == 3 and value <= "255"
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """By kind as listed, then by start."""
     out = [("email", *s) for s in emails(text)]
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(g.lstrip("0")) < 4 and int(g) <= 255 for g in m.groups())]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(at_most_255(g) for g in m.groups())]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -82,30 +105,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def reads_as(kind: str, s: str) -> bool:
     """Whether a written-around form is its kind once the marks are undone."""
+    if FORMS[kind].fullmatch(s) is None:
+        return False
     if kind == "email":
-        plain = re.sub(r"\s*[\[({<]?\s*\b(?:at|AT)\b\s*[\])}>]?\s*|\s*@\s*", "@", s, count=1)
-        plain = re.sub(r"\s*[\[({<]\s*(?:dot|DOT|\.)\s*[\])}>]\s*|\s+(?:dot|DOT)\s+", ".", plain)
-        return AT_EMAIL.fullmatch(plain) is not None
+        return True
     if kind == "ip":
-        parts = re.sub(r"\s*[\[({]?\s*(?:\.|dot)\s*[\])}]?\s*", ".", s).split(".")
-        return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
-    digits = "".join(c for c in s if "0" <= c <= "9")
+        return all(at_most_255(p) for p in re.findall("[0-9]+", s))
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9](?:[ ./_-]{0,3}[0-9])+", s) is not None
-    return 9 <= len(digits) <= 15 and re.fullmatch(r"\+?\(?[0-9][ ()./0-9-]+[0-9]", s) is not None and not s.isdigit()
+        return luhn("".join(c for c in s if "0" <= c <= "9"))
+    return not s.isdigit()
 
 
-def within(kind: str, text: str, a: int, b: int) -> tuple[str, int, int] | None:
-    """The first and longest part of a tagged span, cut at words' ends, that reads as its kind, or as another."""
+def within(kind: str, text: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """All parts of a tagged span that read as its kind, or else as another."""
     s = text[a:b]
-    starts = [m.start() for m in re.finditer(r"(?<![^\s,;:])[^\s,;:]", s)][:6]
-    ends = [m.end() for m in re.finditer(r"[A-Za-z0-9](?![A-Za-z0-9])", s)]
     for k in (kind, *(x for x in KINDS if x != kind)):
-        for x in starts:
-            for y in reversed(ends):
-                if y > x and reads_as(k, s[x:y]):
-                    return k, a + x, a + y
-    return None
+        found = [(k, a + m.start(), a + m.end()) for m in WITHIN[k].finditer(s) if reads_as(k, m.group())]
+        if found:
+            return found
+    return []
 
 
 def char_ids(text: str) -> np.ndarray:
@@ -158,19 +176,22 @@ class Tagger:
         """(time, lanes, tags) for ids x (time, lanes)."""
         return np.concatenate([self.lstm(x, "f"), self.lstm(x, "b")], axis=2) @ self.p["O"] + self.p["o"]
 
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """The best tags for emissions (time, tags)."""
-        trans = self.p["T"] + self.forbidden
-        score = e[0] + np.where([t[0] == "I" for t in TAGS], -1e4, 0.0)
-        back = np.empty(e.shape, np.int64)
+    def viterbi(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best tags (time, lanes) for emissions (time, lanes, tags) of lanes of these lengths; O behind a lane's end."""
+        trans = (self.p["T"] + self.forbidden).T  # (to, from)
+        score = e[0] + np.where([t[0] == "I" for t in TAGS], np.float32(-1e4), np.float32(0))
+        back = np.zeros(e.shape, np.int8)
+        back[1:] = np.arange(len(TAGS))  # behind a lane's end nothing changes
         for t in range(1, len(e)):
-            m = score[:, None] + trans
-            back[t] = m.argmax(axis=0)
-            score = m.max(axis=0) + e[t]
-        tags = np.empty(len(e), np.int64)
-        tags[-1] = score.argmax()
-        for t in range(len(e) - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
+            live = int(np.searchsorted(-lengths, -t))  # lanes come longest first
+            m = score[:live, None, :] + trans
+            back[t, :live] = m.argmax(axis=2)
+            score[:live] = m.max(axis=2) + e[t, :live]
+        tags = np.zeros(e.shape[:2], np.int8)
+        lanes, at = np.arange(e.shape[1]), score.argmax(axis=1)
+        for t in range(len(e) - 1, -1, -1):
+            tags[t] = np.where(t < lengths, at, 0)
+            at = back[t, lanes, at]
         return tags
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
@@ -303,64 +324,115 @@ def labelled_windows(texts: list[str], n: int = 3000, seed: int = 11) -> list[tu
 
 
 def needed(text: str, base: list[tuple[str, int, int]]) -> list[int]:
-    """Numbers of the windows (from STRIDE times the number on) that hold a trigger outside base spans."""
-    taken, out, k = sorted((a, b) for _, a, b in base), set(), 0
+    """Numbers of the windows (from STRIDE times the number on) to read: see above."""
+    taken, out, k, last = sorted((a, b) for _, a, b in base), set(), 0, max(0, len(text) - 1) // STRIDE
     for m in TRIGGER.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
         if k < len(taken) and taken[k][0] <= m.start():
             continue
-        last = m.start() // STRIDE
-        out.update(range(max(0, last - WINDOW // STRIDE + 1), last + 1))
+        here = m.start() // STRIDE
+        out.update(range(max(0, here - WINDOW // STRIDE + 1 - SIDE), min(last, here + SIDE) + 1))
     return sorted(out)
 
 
+#: The middle of a window weighs most where windows overlap.
+WEIGHT = (1 - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2) / (WINDOW / 2)).astype(np.float32)[:, None]
+
+
+class Stretch:
+    """Windows of a text (number i) that follow one another, and the sums of their emissions."""
+
+    def __init__(self, i: int, windows: list[int], ids: np.ndarray):
+        self.i, self.windows, self.at = i, windows, windows[0] * STRIDE
+        size = min(len(ids) - self.at, (windows[-1] - windows[0]) * STRIDE + WINDOW)
+        self.ids, self.total, self.mass = ids[self.at : self.at + size], np.zeros((size, len(TAGS)), np.float32), np.full((size, 1), 1e-6, np.float32)
+
+    def add(self, window: int, e: np.ndarray) -> None:
+        a = window * STRIDE - self.at
+        n = min(WINDOW, len(self.ids) - a)
+        self.total[a : a + n] += e[:n] * WEIGHT[:n]
+        self.mass[a : a + n] += WEIGHT[:n]
+
+
+def stretches(i: int, windows: list[int], ids: np.ndarray) -> list[Stretch]:
+    runs: list[list[int]] = []
+    for w in windows:
+        if runs and w - runs[-1][-1] < WINDOW // STRIDE + 1:
+            runs[-1].append(w)
+        else:
+            runs.append([w])
+    return [Stretch(i, r, ids) for r in runs]
+
+
+def decode(tagger: Tagger, done: list[Stretch], texts: list[str], out: list[list[tuple[str, int, int]]]) -> None:
+    """Tag stretches whose windows are all read, and add to out what reads as its kind."""
+    done.sort(key=lambda s: -len(s.ids))
+    while done:
+        lanes = max(1, DECODE // len(done[0].ids))
+        some, done[:lanes] = done[:lanes], []
+        lengths = np.array([len(s.ids) for s in some])
+        e = np.zeros((lengths[0], len(some), len(TAGS)), np.float32)
+        for k, s in enumerate(some):
+            e[: lengths[k], k] = s.total / s.mass
+        tags = tagger.viterbi(e, lengths)
+        for k in np.flatnonzero(tags.any(axis=0)).tolist():
+            s, start = some[k], None
+            for j, tag in enumerate([*tags[: lengths[k], k].tolist(), 0]):
+                if start is not None and TAGS[tag][0] != "I":
+                    out[s.i] += within(TAGS[tags[start, k]][2:], texts[s.i], s.at + start, s.at + j)
+                    start = None
+                if TAGS[tag][0] == "B":
+                    start = j
+
+
 def tag_texts(tagger: Tagger, texts: list[str], bases: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
-    """Spans that the network adds, for each text."""
-    jobs = [(i, w) for i, (t, b) in enumerate(zip(texts, bases)) for w in needed(t, b)]
-    ids = {i: char_ids(texts[i]) for i in {i for i, _ in jobs}}
-    sums: dict[int, dict[int, np.ndarray]] = {}
-    # the middle of a window weighs most where windows overlap
-    shape = (1 - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2) / (WINDOW / 2)).astype(np.float32)[:, None]
+    """Spans that the network adds, for each text: those that overlap no base span and none before them."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for at in range(0, len(jobs), GROUP):
-        x = np.full((WINDOW, len(jobs[at : at + GROUP])), 32, np.int64)
-        for k, (i, w) in enumerate(jobs[at : at + GROUP]):
-            part = ids[i][w * STRIDE : w * STRIDE + WINDOW]
+    jobs: list[tuple[Stretch, int]] = []
+    held: list[Stretch] = []
+
+    def read() -> None:
+        x = np.full((WINDOW, len(jobs)), 32, np.int64)
+        for k, (s, w) in enumerate(jobs):
+            part = s.ids[w * STRIDE - s.at :][:WINDOW]
             x[: len(part), k] = part
         e = tagger.emissions(x)
-        for k, (i, w) in enumerate(jobs[at : at + GROUP]):
-            sums.setdefault(i, {})[w] = e[:, k]
-    for i, windows in sums.items():
-        text, taken = texts[i], [(a, b) for _, a, b in bases[i]]
-        order = sorted(windows)
-        stretches: list[list[int]] = []
-        for w in order:
-            if stretches and w - stretches[-1][-1] < WINDOW // STRIDE + 1:
-                stretches[-1].append(w)
-            else:
-                stretches.append([w])
-        for ws in stretches:
-            a0, n = ws[0] * STRIDE, (ws[-1] - ws[0]) * STRIDE + WINDOW
-            total, mass = np.zeros((n, len(TAGS)), np.float32), np.full((n, 1), 1e-6, np.float32)
-            for w in ws:
-                o = w * STRIDE - a0
-                total[o : o + WINDOW] += windows[w] * shape
-                mass[o : o + WINDOW] += shape
-            tags = tagger.viterbi((total / mass)[: len(text) - a0])
-            start = None
-            for j, tag in enumerate([*tags.tolist(), 0]):
-                name = TAGS[tag]
-                if start is not None and name[0] != "I":
-                    got = within(TAGS[tags[start]][2:], text, a0 + start, a0 + j)
-                    if got and all(y <= got[1] or got[2] <= x for x, y in taken):
-                        out[i].append(got)
-                    start = None
-                if name[0] == "B":
-                    start = j
+        for k, (s, w) in enumerate(jobs):
+            s.add(w, e[:, k])
+        jobs.clear()
+
+    for i, (text, base) in enumerate(zip(texts, bases)):
+        windows = needed(text, base)
+        for s in stretches(i, windows, char_ids(text)) if windows else ():
+            held.append(s)
+            for w in s.windows:
+                jobs.append((s, w))
+                if len(jobs) == GROUP:
+                    read()
+        if sum(len(s.ids) for s in held) >= DECODE or i + 1 == len(texts):
+            if jobs:
+                read()
+            decode(tagger, held, texts, out)
+    for i, found in enumerate(out):
+        if found:
+            out[i] = apart(found, bases[i])
     return out
 
 
+def apart(found: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans of found, by start, that overlap no base span and none kept before them."""
+    taken, kept, k, end = sorted((a, b) for _, a, b in base), [], 0, 0
+    ends = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
+    for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
+        while k < len(taken) and ends[k] <= a:
+            k += 1
+        if a >= end and (k == len(taken) or taken[k][0] >= b):
+            kept.append((kind, a, b))
+            end = b
+    return kept
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> Tagger:
     """The network, trained on at most SAMPLE texts' contexts; without texts, on the made-up spans alone."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text != ''")
@@ -371,7 +443,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps:
     return tagger
 
 
-SCHEMA = fields("n_email long,n_ip long,n_card long,n_phone long,base_spans string,spans string")
+SCHEMA = fields("n_email long,n_ip long,n_card long,n_phone long,base_spans string,spans string,n_spans long")
 #: Texts whose windows are read together.
 TEXTS = 256
 
@@ -387,17 +459,17 @@ def scan(text: Column, tagger: Tagger) -> Column:
                 bases = [base_spans(t) for t in texts]
                 for base, more in zip(bases, tag_texts(tagger, texts, bases)):
                     every = sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))
-                    rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), span_text(base), span_text(every)))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                    rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), span_text(base), span_text(every), len(every)))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=SCHEMA.names)
 
     return F.arrow_udf(run, SCHEMA).asNondeterministic()(text)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagger: Tagger | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, counts by kind, the base spans' digest, all spans."""
+    """One row for each row of docs: doc_id, base spans' counts by kind and digest, all spans and their number."""
     tagger = tagger or fit(docs, id_col, text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col), tagger).alias("f"))
     return found.select("doc_id", "f.n_email", "f.n_ip", "f.n_card", "f.n_phone",
-                        F.sha2(F.col("f.base_spans"), 256).alias("base_sha256"), "f.spans")
+                        F.sha2(F.col("f.base_spans"), 256).alias("base_sha256"), "f.spans", "f.n_spans")

@@ -146,6 +146,74 @@ def test_tagger_finds_bare_forms(tagger):
     assert sum(any(k == "email" for k, _, _ in found) for found in pii.tag_texts(tagger, texts, [[]] * len(texts))) >= 2
 
 
+def plain_tags(tagger, text):
+    """All windows of a text, one by one; one Viterbi pass over all of it."""
+    import numpy as np
+
+    ids, T = pii.char_ids(text), len(pii.TAGS)
+    total, mass = np.zeros((len(ids), T)), np.full((len(ids), 1), 1e-6)
+    for at in range(0, len(ids), pii.STRIDE):
+        part = ids[at : at + pii.WINDOW]
+        x = np.full((pii.WINDOW, 1), 32)
+        x[: len(part), 0] = part
+        for j, e in enumerate(tagger.emissions(x)[: len(part), 0]):
+            w = 1 - abs(j - (pii.WINDOW - 1) / 2) / (pii.WINDOW / 2)
+            total[at + j] += e * w
+            mass[at + j] += w
+    e = total / mass
+    best = {t: (e[0][t] - 1e4 * (pii.TAGS[t][0] == "I"), [t]) for t in range(T)}
+    for row in e[1:]:
+        step = {}
+        for t in range(T):
+            s, f = max((best[f][0] + tagger.p["T"][f, t] + tagger.forbidden[f, t], -f) for f in range(T))
+            step[t] = (s + row[t], [*best[-f][1], t])
+        best = step
+    tags, found, start = [*max(best.values())[1], 0], [], None
+    for j, t in enumerate(tags):
+        if start is not None and pii.TAGS[t][0] != "I":
+            found += pii.within(pii.TAGS[tags[start]][2:], text, start, j)
+            start = None
+        if pii.TAGS[t][0] == "B":
+            start = j
+    return pii.apart(found, pii.base_spans(text))
+
+
+def test_tagging_against_a_plain_version(tagger, monkeypatch):
+    """Windows without a trigger, batches of windows and of stretches change nothing."""
+    monkeypatch.setattr(pii, "GROUP", 7)
+    monkeypatch.setattr(pii, "DECODE", 900)
+    r, texts = random.Random(12), ["", "x", "7"]
+    for _ in range(40):
+        parts = ["the of and to in that is was he for it "[: r.randint(5, 39)] * r.randint(1, 9) for _ in range(3)]
+        texts.append(parts[0] + pii.made_up(r)[1] + parts[1] + r.choice([pii.made_up(r)[1], pii.distractor(r), ""]) + parts[2])
+    got = pii.tag_texts(tagger, texts, [pii.base_spans(t) for t in texts])
+    want = [plain_tags(tagger, t) if t else [] for t in texts]
+    assert got == want and sum(map(bool, want)) > 10
+
+
+def test_viterbi_of_lanes():
+    import numpy as np
+
+    tagger = pii.Tagger()
+    r = np.random.default_rng(1)
+    tagger.p["T"] = r.standard_normal(tagger.p["T"].shape).astype(np.float32)
+    lengths = np.array([9, 6, 6, 2, 1])
+    e = r.standard_normal((9, 5, len(pii.TAGS))).astype(np.float32)
+    both = tagger.viterbi(e, lengths)
+    for k, n in enumerate(lengths):
+        assert both[:n, k].tolist() == tagger.viterbi(e[:n, k : k + 1], np.array([n]))[:, 0].tolist() and not both[n:, k].any()
+
+
+def test_any_number_of_digits():
+    for text in ("1.2.3." + "0" * 5000, "1.2.3." + "9" * 5000, "9" * 5000, "+" + "9" * 5000, "1 " * 5000, "a@" + "9" * 5000 + ".x", "0" * 5000 + "255.0.0.1"):
+        base = pii.base_spans(text)
+        pii.within("card", text, 0, len(text))
+        assert [k for k, _, _ in base] == (["ip"] if text.startswith(("1.2.3.0", "000")) else ["email"] if "@" in text else [])
+    assert pii.within("card", "4111 1111 1111 1111 and 5500-0000-0000-0004", 0, 43) == [("card", 0, 19), ("card", 24, 43)]
+    two = "a at b dot c or " * 9 + "x (at) y.org"
+    assert len(pii.within("email", two, 0, len(two))) == 10
+
+
 def test_pii_rows(spark, tagger):
     got = pii.detect(clashing(spark), tagger=tagger)
     assert got.count() == 10 and got.select(F.sum(F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone"))).first()[0] == 0
