@@ -8,7 +8,7 @@ token's smoothed share of its shape by corpus counts.  An unseen token takes its
 unseen word, as in the base.
 
 The recurrent weights are trained in numpy by backpropagation through windows of WINDOW tokens, the state carried on.  They
-start from STEPS steps over the first tokens of at most SAMPLE texts chosen by a hash of their ids; then every token of all training texts
+start from STEPS steps over at most SAMPLE texts chosen by a hash of their ids; then every token of all training texts
 is learned from once: each task goes on from there over its texts, and the tasks' weights are averaged by their tokens, in two levels of
 partial sums.  Scoring carries the state across windows too, so a text's
 log-probability is that of the whole text.  Counts of the most frequent tokens, KNOWN at most, travel with the tasks; those of the
@@ -117,7 +117,7 @@ class Vocabulary:
         place: dict[bytes, int] = {}
         self.stand_in = np.zeros(N_SHAPES, np.int64)
         for i, (s, t) in enumerate(entries):
-            if i == 0 or entries[i - 1][0] != s or i - self.start[-1] == CLASS:
+            if i % CLASS == 0:  # neighbours in the order of shapes share a class
                 self.start.append(i)
             self.klass[i] = len(self.start) - 1
             if t is None:
@@ -167,7 +167,22 @@ class Vocabulary:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+    """In place."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def exp_sums(z: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z - m) in place and its rows' sums, with the logarithms of the true sums; m is 0 where no value reaches 80."""
+    m = z.max(axis=1) if bound > 80 else None
+    if m is not None:
+        z -= m[:, None]
+    np.exp(z, out=z)
+    s = z @ np.ones(z.shape[1], z.dtype)
+    return s, np.log(s) if m is None else np.log(s) + m
 
 
 class Network:
@@ -196,49 +211,56 @@ class Network:
             gx, gh = table[x[t]], h @ U
             zr = sigmoid(gx[:, : 2 * H] + gh[:, : 2 * H])
             z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(gx[:, 2 * H :] + r * gh[:, 2 * H :])
+            gn = gh[:, 2 * H :]
+            n = r * gn
+            n += gx[:, 2 * H :]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, gh[:, 2 * H :]))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, h
+                keep.append((h, z, r, n, gn))
+            np.subtract(h, n, out=out[t])
+            out[t] *= z
+            out[t] += n
+            h = out[t]
+        return out, h.copy()
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of entries y after states h; with grads, the loss's gradient too."""
-        p, k = self.p, self.klass[y]
-        logits = h @ p["C"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1)
-        rows = np.arange(len(y))
-        out = (logits[rows, k] - np.log(s)).astype(np.float64)
+        """Natural log-probabilities of entries y after states h; with grads, the loss's gradient too.  Rows go in the order of their
+        entries' classes, so those of a class lie together."""
+        p, size = self.p, len(self.start) - 1
+        order = np.argsort(self.klass[y].astype(np.int16), kind="stable")
+        h, y = h[order], y[order]
+        k, rows = self.klass[y], np.arange(len(y))
+        # states lie within -1 and 1, which bounds what the logits can be
+        bounds = [float((np.abs(p[w]).sum(axis=axis) + np.abs(p[b])).max()) for w, b, axis in (("C", "cb", 0), ("M", "mb", 1))]
+        e = h @ p["C"] + p["cb"]
+        out = e[rows, k].astype(np.float64)
+        s, log_s = exp_sums(e, bounds[0])
+        out -= log_s
         dh = None
         if grads is not None:
-            d = e / s[:, None]
-            d[rows, k] -= 1
-            grads["C"], grads["cb"] = h.T @ d, d.sum(axis=0)
+            e *= (1 / s)[:, None]
+            e[rows, k] -= 1
+            grads["C"], grads["cb"] = h.T @ e, e.sum(axis=0)
             grads["M"], grads["mb"] = np.zeros_like(p["M"]), np.zeros_like(p["mb"])
-            dh = d @ p["C"].T
-        order = np.argsort(k, kind="stable")
-        bounds = np.searchsorted(k[order], np.arange(len(self.start)))
-        for c in np.flatnonzero(np.diff(bounds)):
-            a, b = self.start[c], self.start[c + 1]
+            dh = e @ p["C"].T
+        ends = np.searchsorted(k, np.arange(size + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            a, b, i = self.start[c], self.start[c + 1], slice(ends[c], ends[c + 1])
             if b - a == 1:
                 continue
-            i = order[bounds[c] : bounds[c + 1]]
             hi, yi = h[i], y[i] - a
-            z = hi @ p["M"][a:b].T + p["mb"][a:b]
-            z -= z.max(axis=1, keepdims=True)
-            ez = np.exp(z)
-            sz = ez.sum(axis=1)
-            at = np.arange(len(i))
-            out[i] += z[at, yi] - np.log(sz)
+            z, at = hi @ p["M"][a:b].T + p["mb"][a:b], rows[: len(yi)]
+            out[i] += z[at, yi]
+            s, log_s = exp_sums(z, bounds[1])
+            out[i] -= log_s
             if grads is not None:
-                d = ez / sz[:, None]
-                d[at, yi] -= 1
-                grads["M"][a:b], grads["mb"][a:b] = d.T @ hi, d.sum(axis=0)
-                dh[i] += d @ p["M"][a:b]
-        return out, dh
+                z *= (1 / s)[:, None]
+                z[at, yi] -= 1
+                grads["M"][a:b], grads["mb"][a:b] = z.T @ hi, z.sum(axis=0)
+                dh[i] += z @ p["M"][a:b]
+        back = np.empty(len(order), np.int64)
+        back[order] = rows
+        return out[back], None if dh is None else dh[back]
 
     def train(self, stream: np.ndarray, end: int, steps: int, lanes: int = 48, rate: float = 0.012) -> float:
         """Adam over windows of the token stream, dealt to lanes; returns the last windows' mean loss."""
@@ -268,22 +290,33 @@ class Network:
         logp, dh = self.log_probs(states.reshape(-1, HIDDEN), y.reshape(-1), g)
         n = len(logp)
         dh = dh.reshape(states.shape)
-        g["U"], dx, nxt = np.zeros_like(self.p["U"]), np.empty((len(x), x.shape[1], 3 * HIDDEN), np.float32), 0.0
+        H, nxt = HIDDEN, np.float32(0)
+        dx = np.empty((len(x), x.shape[1], 3 * H), np.float32)  # of the gates' sums
+        du = np.empty_like(dx)  # the same as the last state's products meet it
         for t in range(len(x) - 1, -1, -1):
             h0, z, r, c, gn = keep[t]
             d = dh[t] + nxt
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (h0 - c) * z * (1 - z)
-            dr = dc * gn * r * (1 - r)
-            gate = np.concatenate([dz, dr, dc * r], axis=1)
-            dx[t] = np.concatenate([dz, dr, dc], axis=1)
-            g["U"] += h0.T @ gate
-            nxt = d * z + gate @ self.p["U"].T
-        flat, ids = dx.reshape(-1, 3 * HIDDEN), x.reshape(-1)
+            dc = d * (1 - z)
+            np.multiply(dc, 1 - c * c, out=dx[t, :, 2 * H :])
+            dc = dx[t, :, 2 * H :]
+            np.multiply(dc, r, out=du[t, :, 2 * H :])
+            np.multiply(d * (h0 - c), z * (1 - z), out=dx[t, :, :H])
+            np.multiply(du[t, :, 2 * H :] * gn, 1 - r, out=dx[t, :, H : 2 * H])
+            du[t, :, : 2 * H] = dx[t, :, : 2 * H]
+            nxt = du[t] @ self.p["U"].T
+            nxt += d * z
+        before = np.concatenate([keep[0][0][None], states[:-1]])
+        g["U"] = before.reshape(-1, H).T @ du.reshape(-1, 3 * H)
+        flat, ids = dx.reshape(-1, 3 * H), x.reshape(-1)
         g["b"] = flat.sum(axis=0)
-        g["W"] = self.p["E"][ids].T @ flat
+        # sums by entry, which the gradients of embeddings and input weights need
+        order = np.argsort(ids.astype(np.int16), kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        some, sums = ids[first], np.add.reduceat(flat[order], first, axis=0)
+        g["W"] = self.p["E"][some].T @ sums
         g["E"] = np.zeros_like(self.p["E"])
-        np.add.at(g["E"], ids, flat @ self.p["W"].T)
+        g["E"][some] = sums @ self.p["W"].T
         norm = math.sqrt(sum(float((x * x).sum()) for x in g.values())) / n
         clip = min(1.0, 1.0 / (norm + 1e-9)) / n
         for k, x_ in g.items():
@@ -414,22 +447,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
     texts = train.join(F.broadcast(first.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
     stream = [np.array([vocabulary.end])]
     for r in texts.select("text").toLocalIterator():  # a start only: learn_all reads all of every text
-        stream.append(vocabulary.read(r["text"] or "")[0][:4 * WINDOW * STEPS])
+        stream.append(vocabulary.read(r["text"] or "")[0])
     network = Network(vocabulary.start, vocabulary.klass)
     network.train(np.concatenate(stream), vocabulary.end, steps)
     learn_all(train, vocabulary, network)
     return vocabulary, network, counts
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
-                    ("score", pa.float64()), ("others", pa.list_(pa.struct([("token", pa.binary()), ("m", pa.int64())])))])
-SCORED_SQL = "doc_id long, uid long, n long, n_known long, base double, score double, others array<struct<token:binary,m:long>>"
+#: What scoring a text gives besides its id.
+SCORED = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+                    ("others", pa.list_(pa.struct([("token", pa.binary()), ("m", pa.int64())])))])
+SCORED_SQL = "uid long, n long, n_known long, base double, score double, others array<struct<token:binary,m:long>>"
 #: Texts that are scored together.
 GROUP = 2048
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row for each row of docs: doc_id (of any type), held_out, n_tokens, n_known, train_tokens, base_score, score, and both scores a
+    token."""
     spark = docs.sparkSession
     vocabulary, network, counts = fit(docs, id_col, text_col, **settings)
     held = spark.sparkContext.broadcast((vocabulary, network))
@@ -439,17 +474,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
         part, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, GROUP).columns)
+                ids, texts = batch.column(0).slice(at, GROUP), batch.column(1).slice(at, GROUP).to_pylist()
                 read = [vocabulary.read(t or "") for t in texts]
                 logp = network.score([r[0] for r in read], vocabulary.end) / math.log(10)
-                cols = [ids, [(part << 40) + count + i for i in range(len(ids))], [len(r[0]) for r in read], [r[3] for r in read],
+                cols = [[(part << 40) + count + i for i in range(len(ids))], [len(r[0]) for r in read], [r[3] for r in read],
                         [r[1] - len(r[0]) * vocabulary.base_norm for r in read], [p + r[2] for p, r in zip(logp.tolist(), read)],
                         [[{"token": t, "m": m} for t, m in r[4]] for r in read]]
                 count += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCORED)], schema=SCORED)
+                made = [ids, *(pa.array(c, f.type) for c, f in zip(cols, SCORED, strict=True))]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", *SCORED.names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = stage(spark, rows.mapInArrow(run, SCORED_SQL), "lm-scored")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCORED_SQL}"
+    scored = stage(spark, rows.mapInArrow(run, schema), "lm-scored")
     # tokens beyond the known ones: their counts come by a join
     others = scored.select("uid", F.explode("others").alias("o")).select("uid", "o.token", "o.m")
     found = others.join(counts, "token", "left").groupBy("uid").agg(
@@ -459,4 +496,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
     return scored.drop("others").join(found, "uid", "left").select(
         "doc_id", (bucket(F.col("doc_id"), 10) == 0).alias("held_out"), F.col("n").alias("n_tokens"),
         (F.col("n_known") + more_known).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        ((F.col("base") + more) / F.col("n")).alias("base_per_token"), ((F.col("score") + more) / F.col("n")).alias("score_per_token"))

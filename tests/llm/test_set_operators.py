@@ -320,6 +320,54 @@ def test_language_model(spark):
     assert lm.score(empty(spark), steps=5).count() == 0
     rows = lm.score(clashing(spark), steps=5).collect()
     assert len(rows) == 10 and all(math.isfinite(x.score) for x in rows)
+    named = lm.score(clashing(spark).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), steps=5)
+    assert {x.doc_id for x in named.collect()} == {None, *(f"d{i}" for i in range(1, 9))}
+
+
+def test_score_against_a_plain_network(spark):
+    """The score of a text, by loops over gates, classes and tokens alone."""
+    r = random.Random(3)
+    some = vocabulary(r, 60)
+    docs = [(i, " ".join(r.choices(some, k=r.randint(0, 90)))) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    v, net, counts = lm.fit(d, head=20, known=30, steps=20)
+    c = {bytes(x.token): x.c for x in counts.collect()}
+    p, H = {k: w.astype(float) for k, w in net.p.items()}, lm.HIDDEN
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    order = sorted(c, key=lambda t: (-c[t], t))
+    top = set(order[:20])
+    ends = [*v.start.tolist()]
+    entries = sorted([(s, False, b"") for s in range(lm.N_SHAPES)] + [(lm.shape(t), True, t) for t in order[:20]], key=lambda e: e[:2])
+    place = {t: i for i, (_, own, t) in enumerate(entries) if own}
+    alone = {s: i for i, (s, own, _) in enumerate(entries) if not own}
+
+    def plain(text):
+        h, x, total = [0.0] * H, v.end, 0.0
+        for t in [*lm.tokens(text), lm.END]:
+            g = p["E"][x] @ p["W"] + p["b"]
+            u = np.array(h) @ p["U"]
+            z, q = ([sig(g[i + o] + u[i + o]) for i in range(H)] for o in (0, H))
+            n = [math.tanh(g[2 * H + i] + q[i] * u[2 * H + i]) for i in range(H)]
+            h = [n[i] + z[i] * (h[i] - n[i]) for i in range(H)]
+            s = lm.shape(t)
+            x = place[t] if t in top else alone[s]
+            k = max(i for i, a in enumerate(ends[:-1]) if a <= x)
+            of = [math.exp(sum(h[i] * p["C"][i, j] for i in range(H)) + p["cb"][j]) for j in range(len(ends) - 1)]
+            within = {j: math.exp(p["M"][j] @ np.array(h) + p["mb"][j]) for j in range(ends[k], ends[k + 1])}
+            total += math.log10(of[k] / sum(of) * within[x] / sum(within.values()))
+            if t not in top:
+                rest = [w for w in c if w not in top and lm.shape(w) == s]
+                total += math.log10((c.get(t, 0) + 0.1) / (sum(c[w] for w in rest) + 0.1 * (len(rest) + 1)))
+        return total
+
+    vocabulary_of = lm.fit
+    lm.fit = lambda *_, **__: (v, net, counts)
+    try:
+        got = {x.doc_id: x.score for x in lm.score(d).collect()}
+    finally:
+        lm.fit = vocabulary_of
+    for i, t in docs[:12]:
+        assert abs(got[i] - plain(t)) < 1e-3 * max(1, abs(plain(t)))
 
 
 def network(n_words=30):
