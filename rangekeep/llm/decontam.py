@@ -1,14 +1,15 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations only.
 
 Words are runs of other characters than ASCII marks, with A-Z lowered.  A window is WINDOW consecutive words of
-an item, or all words of a shorter one.  Shingles are pairs of neighbouring words (single words for items of
-one word).  An exact window holds all its shingles, so its prefix under the order of rarity is one shingle: the
-rarest in the corpus.  Documents' shingles are joined with the benchmark's once; the counts give the order,
-windows with a shingle that no document has are pruned, and the occurrences of the prefixes name
-candidates (document, item, offset).  Offsets that leave no room for a window are dropped, and the others are
-verified word by word.
-
-Benchmarks' shingles are broadcast up to BROADCAST_ROWS, which is counted first; beyond it the joins shuffle.
+an item, or all words of a shorter one.  Shingles are pairs of neighbouring words (single words for windows of
+one word).  An exact window holds all its shingles, so its necessary prefix under the order of rarity is one shingle: the
+rarest in the corpus.  A first pass over the documents counts the benchmark's shingles, which gives the order; windows with a
+shingle that no document has are pruned.  The second pass joins the documents' shingles with the prefixes alone.  An occurrence
+gives the offset at which a window would begin; those that leave no room for one are dropped.  The words there are looked up
+among the distinct windows, which is exact containment, and these name their items.
+
+So a document has at most WINDOW offsets of each length for an occurrence of a prefix, however many windows share it and however often
+a text repeats itself.  Tables of the benchmark are broadcast up to BROADCAST_ROWS, which is counted first; beyond it the joins shuffle.
 A null text has no words.  Documents repeated in full each get the same row; items with null ids count under
 the id "".  An empty benchmark hits nothing.
 """
@@ -42,78 +43,72 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """item (a key), item_id as a string, its words, their number and the length of its windows."""
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"),
-                            split_words(F.col(text_col)).alias("iw")).distinct()
-    rows = rows.withColumn("len", F.size("iw")).filter("len > 0")
-    return rows.select(F.xxhash64("item_id", F.array_join("iw", " ")).alias("item"), "item_id", "iw", "len",
-                       F.least("len", F.lit(window)).alias("win"))
+def shingle_hashes(words: Column, n: Column, singles: bool) -> Column:
+    """Hashes of a text's pairs; with singles, those of its single words follow at positions from n on."""
+    pairs = pair_hashes(words, n)
+    if not singles:
+        return pairs
+    ones = F.transform(words, lambda x: F.xxhash64(x, F.lit(None).cast("string")))
+    gap = F.when(n > 0, F.array(F.lit(None).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(pairs, gap, ones)
+
+
+def window_key(words: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(words, " ")))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, with_key: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with_key: and th, a hash of the text."""
     spark = docs.sparkSession
-    items = stage(spark, benchmark_items(benchmark, item_id_col, item_text_col, window), "decontam-items")
-    shingles = items.select(
-        "item", "len", "win",
-        F.posexplode(F.when(F.col("len") == 1, F.array(F.xxhash64(F.col("iw")[0], F.lit(None).cast("string"))))
-                     .otherwise(pair_hashes(F.col("iw"), F.col("len")))).alias("q", "h"))
-    shingles = stage(spark, shingles, "decontam-shingles")
-    n_shingles = shingles.count()
-    singles = not shingles.filter("len = 1").isEmpty()
-    known = small(shingles.select("h").distinct().withColumn("known", F.lit(True)), n_shingles)
-
-    # one pass over the documents: the benchmark's shingles where they occur, and a first row for each document
+    items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item_id"), split_words(F.col(item_text_col)).alias("iw"))
+    items = items.withColumns({"len": F.size("iw"), "win": F.least(F.size("iw"), F.lit(window))}).filter("len > 0")
+    cut = items.select("item_id", "win", F.explode(F.sequence(F.lit(1), F.col("len") - F.col("win") + 1)).alias("s"), "iw")
+    cut = cut.select("item_id", "win", F.slice("iw", F.col("s"), F.col("win")).alias("ww"))
+    of_items = stage(spark, cut.select(window_key(F.col("ww")).alias("wid"), "item_id", "win", "ww").distinct(), "decontam-windows")
+    windows = stage(spark, of_items.select("wid", "win", "ww").distinct(), "decontam-distinct")
+    each = F.when(F.col("win") == 1, F.transform("ww", lambda x: F.xxhash64(x, F.lit(None).cast("string")))).otherwise(pair_hashes(F.col("ww"), F.col("win")))
+    shingles = stage(spark, windows.select("wid", "win", F.posexplode(each).alias("q", "h")), "decontam-shingles")
+    n_windows, n_shingles = of_items.count(), shingles.count()
+    singles = not windows.filter("win = 1").isEmpty()
+
+    # the first pass: how often the benchmark's shingles occur in the documents
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = source.select("doc_id", F.xxhash64("text").alias("th"), split_words(F.col("text")).alias("w"))
-    keyed = keyed.withColumn("n", F.size("w"))
-    hashes = pair_hashes(F.col("w"), F.col("n"))
-    if singles:  # single words lie behind the pairs, at positions from n on
-        ones = F.transform("w", lambda x: F.xxhash64(x, F.lit(None).cast("string")))
-        gap = F.when(F.col("n") > 0, F.array(F.lit(None).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-        hashes = F.concat(hashes, gap, ones)
+    keyed = source.select("doc_id", F.xxhash64("text").alias("th"), split_words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    hashes = shingle_hashes(F.col("w"), F.col("n"), singles)
+    counts = keyed.select(F.explode(hashes).alias("h")).join(small(shingles.select("h").distinct(), n_shingles), "h", "left_semi")
+    counts = stage(spark, counts.groupBy("h").agg(F.count("*").alias("c")), "decontam-counts")
+
+    # each window's rarest shingle
+    ranked = shingles.join(small(counts, n_shingles), "h", "left")
+    rarest = ranked.groupBy("wid", "win").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h", "q")).alias("r")).filter("r.c > 0")
+    prefixes = stage(spark, rarest.select("win", "r.h", "r.q").distinct(), "decontam-prefixes")
+
+    # the second pass: where prefixes occur, if a window fits in the document there; and a first row for each document
     exploded = keyed.select("doc_id", "th", "n", F.posexplode_outer(hashes).alias("p", "h"))
+    known = small(prefixes.select("h").distinct().withColumn("known", F.lit(True)), n_shingles)
     occ = exploded.join(known, "h", "left").filter("known or p = 0 or p is null")
     occ = occ.select("doc_id", "th", "n", (F.col("p") % F.greatest("n", F.lit(1))).alias("p"), "h", "known",
                      (F.coalesce("p", F.lit(0)) == 0).alias("first"))
     occ = stage(spark, occ, "decontam-occurrences")
+    found = occ.filter("known").join(small(prefixes, n_shingles), "h").select("doc_id", "th", "n", (F.col("p") - F.col("q")).alias("d"), "win")
+    found = found.filter("d >= 0 and d + win <= n").groupBy("doc_id", "th").agg(F.collect_set(F.struct("d", "win")).alias("found"))
 
-    # the rarest shingle of each window, by its count in the documents
-    counts = occ.filter("known").groupBy("h").agg(F.count("*").alias("c"))
-    ranked = shingles.join(small(counts, n_shingles), "h", "left")
-    starts = ranked.withColumn("s", F.explode(F.sequence(
-        F.greatest(F.lit(0), F.col("q") - F.greatest(F.col("win") - 2, F.lit(0))), F.least(F.col("q"), F.col("len") - F.col("win")))))
-    rarest = starts.groupBy("item", "len", "win", "s").agg(
-        F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h", "q")).alias("r")).filter("r.c > 0")
-    prefixes = rarest.select("item", "len", "win", "r.h", "r.q").distinct()
-
-    # candidates: where prefixes occur, if the window's length fits in the document at that offset
-    n, d, size = F.col("n"), F.col("p") - F.col("q"), F.col("len")
-    found = occ.filter("known").join(small(prefixes, n_shingles), "h").select(
-        "doc_id", "th", "item", d.alias("d"), "win", (F.least(n, d + size) - F.greatest(d, F.lit(0))).alias("room"))
-    found = found.filter("room >= win").groupBy("doc_id", "th").agg(
-        F.collect_set(F.struct("item", "d", "room")).alias("found"))  # no more than the document's own shingles give
-
-    # exact verification on the words of the candidates' documents
+    # exact verification: the words at these offsets, looked up among the windows
     texts = source.withColumn("th", F.xxhash64("text"))
     both = texts.join(found, texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["th"] == found["th"])).select(
         texts["doc_id"], texts["th"], "found", split_words(F.col("text")).alias("w"))
-    cut = both.select("doc_id", "th", F.explode(F.transform("found", lambda c: F.struct(
-        c["item"].alias("item"), c["d"].alias("d"),
-        F.slice("w", F.greatest(c["d"], F.lit(0)) + 1, c["room"]).alias("dw")))).alias("c")).select("doc_id", "th", "c.*")
-    pairs = cut.join(small(items, n_shingles), "item").withColumn(
-        "iw", F.expr("slice(iw, greatest(-d, 0) + 1, size(dw))"))
-    hits = pairs.select("doc_id", "th", "item_id", F.col("win"), F.greatest("d", F.lit(0)).alias("at"), F.explode(F.expr(
-        "filter(sequence(0, size(dw) - win), s -> slice(dw, s + 1, win) = slice(iw, s + 1, win))")).alias("s"))
-    spans = hits.select("doc_id", "th", "item_id", (F.col("at") + F.col("s")).alias("a"),
-                        (F.col("at") + F.col("s") + F.col("win")).alias("b")).distinct()
-    before = W.partitionBy("doc_id", "th").orderBy("a", "b", "item_id").rowsBetween(W.unboundedPreceding, -1)
-    spans = spans.withColumn("new", F.greatest(F.lit(0), F.col("b") - F.greatest(
-        F.col("a"), F.coalesce(F.max("b").over(before), F.lit(0)))))
-    hit = spans.groupBy("doc_id", "th").agg(
-        F.sum("new").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
+    at = both.select("doc_id", "th", F.explode(F.transform("found", lambda c: F.struct(
+        c["d"].alias("a"), c["win"].alias("win"), F.slice("w", c["d"] + 1, c["win"]).alias("dw")))).alias("c")).select("doc_id", "th", "c.*")
+    met = at.withColumn("wid", window_key(F.col("dw"))).join(small(windows.select("wid", "ww"), n_windows), "wid").filter(F.col("dw") == F.col("ww"))
+    met = stage(spark, met.select("doc_id", "th", "wid", "a", (F.col("a") + F.col("win")).alias("b")).distinct(), "decontam-hits")
+    spans = met.select("doc_id", "th", "a", "b").distinct()
+    before = W.partitionBy("doc_id", "th").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a"), F.coalesce(F.max("b").over(before), F.lit(0))))
+    n_hit = spans.select("doc_id", "th", new.alias("new")).groupBy("doc_id", "th").agg(F.sum("new").alias("n_hit"))
+    ids = met.select("doc_id", "th", "wid").distinct().join(small(of_items.select("wid", "item_id").distinct(), n_windows), "wid").groupBy("doc_id", "th").agg(
+        F.sort_array(F.collect_set("item_id")).alias("ids"))
+    hit = n_hit.withColumns({"key": F.struct("doc_id", "th")}).join(ids.select(F.struct("doc_id", "th").alias("key"), "ids"), "key").select("doc_id", "th", "n_hit", "ids")
 
     every = occ.filter("first").select("doc_id", "th", "n")
     out = every.join(hit, every["doc_id"].eqNullSafe(hit["doc_id"]) & every["th"].eqNullSafe(hit["th"]), "left")

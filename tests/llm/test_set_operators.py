@@ -282,6 +282,13 @@ def test_decontamination(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_decontamination_of_texts_that_repeat_themselves(spark):
+    d = spark.createDataFrame([(1, "same " * 20_000), (2, "a b " * 10_000), (3, "a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "same " * 20_000), (2, "a b " * 5_000), (3, "same " * 15)], "item_id long, text string")
+    got = {x.doc_id: (x.n_hit, x.n_items) for x in decontam.find(d, b).collect()}
+    assert got == {1: (20_000, 2), 2: (20_000, 1), 3: (0, 0)}
+
+
 def test_decontamination_of_awkward_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     order = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
