@@ -6,7 +6,7 @@ difference of the two Gaussian log densities plus the log prior odds; Mahalanobi
 Cholesky factors that are computed once.
 
 The fit takes at most SAMPLE labelled rows, chosen by a hash of the id; labels that are null, or differ
-for one id, are left out.  Without labelled rows of both classes all scores are 0.5.  Null texts count as empty,
+for one id, are left out; of rows that share a labelled id, the text that sorts first is learned from.  Without labelled rows of both classes all scores are 0.5.  Null texts count as empty,
 and empty texts get a score like any other.  Repeated rows get equal scores.
 """
 
@@ -16,8 +16,10 @@ import math
 from collections import Counter
 from itertools import islice
 from operator import eq
+from typing import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from .common import bucket, fields, free_name, text_udf
 SAMPLE = 20_000
 SHRINK = 0.1
 THRESHOLD = 0.7
-NAMES = ("chars", "words", "word_length", "upper", "digits", "marks", "spaces", "bars", "newlines", "distinct", "adjacent", "top",
+NAMES = ("chars", "words", "word_length", "upper", "digits", "marks", "spaces", "newlines", "distinct", "adjacent", "top",
          "lines")
 
 
@@ -46,7 +48,7 @@ def statistics(text: str) -> list[float]:
     root = math.sqrt
     return [
         math.log1p(len(text)), math.log1p(len(ws)), math.log1p((n - spaces) / m), root(upper / n), root(digits / n),
-        root(marks / n), root(spaces / n), root(int(raw[124]) / m), root(newlines / n),
+        root(marks / n), root(spaces / n), root(newlines / n),
         math.log1p(len(count)) / math.log1p(m), root(sum(map(eq, ws, islice(ws, 1, None))) / m), root(top / m),
         root(1 - len(set(lines)) / len(lines)),
     ]
@@ -72,7 +74,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sample: int = SAMPLE, shrink: float = SHRINK) -> dict | None:
     """The model, or None if a class has no labelled rows."""
     ys = F.broadcast(labelled(labels, label_col, 4, 2, sample))  # `sample` rows of two numbers at most
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ys, "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ys, "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     schema = fields("x array<double>")
     got = rows.select("doc_id", "y", text_udf(schema, lambda: lambda t: (statistics(t),))(F.col("text"))["x"].alias("x")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
@@ -86,18 +89,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             "prior": math.log((y == 1).sum() / (y == 0).sum())}
 
 
-def probability(model: dict | None, stats: list[float]) -> float:
+def probabilities(model: dict | None, stats: np.ndarray) -> np.ndarray:
+    """For each row of statistics, the probability of label 1."""
     if model is None:
-        return 0.5
-    x = (np.array(stats) - model["centre"]) / model["scale"]
-    logs = [-0.5 * (float(np.square(inverse @ (x - mean)).sum()) + logdet) for mean, inverse, logdet in model["classes"]]
-    z = logs[1] - logs[0] + model["prior"]
-    return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+        return np.full(len(stats), 0.5)
+    x = (stats - model["centre"]) / model["scale"]
+    logs = [-0.5 * (np.square((x - mean) @ inverse.T).sum(axis=1) + logdet) for mean, inverse, logdet in model["classes"]]
+    return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + model["prior"], -700, 700)))
 
 
 def score(text: Column, model: dict | None) -> Column:
     """The probability of label 1."""
-    return text_udf(fields("score double"), lambda: lambda t: (probability(model, statistics(t)),))(text)["score"]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            stats = np.array([statistics(t.as_py() or "") for t in texts]).reshape(-1, len(NAMES))
+            yield pa.array(probabilities(model, stats), pa.float64())
+
+    return F.arrow_udf(run, "double").asNondeterministic()(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

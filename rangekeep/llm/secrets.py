@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and runs of high entropy within windows.
 
 Base spans are the leftmost, non-overlapping matches of three patterns (assignments, access keys, long hex
-runs).  Candidate strings besides them are slid over with a window of fixed length; the Shannon entropy of
-the characters of each class is kept by adding and removing one character's count a step.  A window whose
-entropy reaches its class's threshold marks the candidate as a secret, unless the allow-list clears it.
+runs).  A candidate string besides them belongs to the narrowest character class that it is drawn from (hex, alphanumeric, base 64), and
+is slid over with a window of fixed length; the Shannon entropy of the window's characters is kept by adding and removing one
+character's count a step.  A window whose entropy reaches the class's threshold marks the candidate as a secret, unless the
+allow-list clears it.
 
 Null or empty texts have no spans.  Repeated rows each get the same spans.  Whole texts are scanned; the
 patterns take linear time, so very long texts only take longer.  Extra columns pass through untouched.
@@ -93,12 +94,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def entropy_spans(text: str, taken: Iterable[tuple[str, int, int]] = ()) -> list[tuple[str, int, int]]:
     """Candidates of high entropy that overlap no span of `taken` and that no allow-list entry clears."""
-    taken = list(taken)
-    out = []
+    taken = sorted((a, b) for _, a, b in taken)
+    out, k, end = [], 0, 0  # end: the furthest that a span reaches which begins before the candidate's end
     for m in CANDIDATE.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            end = max(end, taken[k][1])
+            k += 1
         s = m.group()
         kind = char_class(s)
-        if kind is None or any(a < m.end() and m.start() < b for _, a, b in taken):
+        if kind is None or m.start() < end:
             continue
         if peak_entropy(s) >= THRESHOLDS[kind] and not any(p.search(s) for p in ALLOW):
             out.append(("entropy", *m.span()))
@@ -109,10 +113,10 @@ def _scan(text: str) -> tuple:
     base = base_spans(text)
     both = sorted(base + entropy_spans(text, base), key=lambda s: (s[1], s[0] == "entropy", s[0]))
     n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-    return (*n, span_text(base), span_text(both))
+    return (*n, span_text(base), span_text(both), len(both))
 
 
-SCHEMA = fields("n_assign long,n_access long,n_hex long,base_spans string,spans string")
+SCHEMA = fields("n_assign long,n_access long,n_hex long,base_spans string,spans string,n_spans long")
 
 
 def scan(text: Column) -> Column:
@@ -139,9 +143,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: the id, counts by kind, digest of the base spans, all spans."""
+    """One row for each row of docs: the id, base spans' counts by kind and digest, all spans and their number."""
     found = docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col)).alias("found"))
     return found.select(
         "doc_id", "found.n_assign", "found.n_access", "found.n_hex",
-        F.sha2(F.col("found.base_spans"), 256).alias("base_sha256"), "found.spans",
+        F.sha2(F.col("found.base_spans"), 256).alias("base_sha256"), "found.spans", "found.n_spans",
     )

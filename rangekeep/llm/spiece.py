@@ -3,8 +3,9 @@
 The model file is a protobuf; it is parsed here field by field.  From it come the normaliser (dummy prefix,
 extra white space, the white-space marker), the pieces with their scores, and byte fallback.  A unigram
 model keeps its scores; in a BPE model a piece's score is the rank of the merges that make it.  The distinct
-new words of each batch are encoded by the library's threads.  Parity with the sentencepiece library is verified at run time on
-a share of the texts, chosen by hash, and in tests on all.
+new words of each batch are encoded by the library's threads, and it decodes the ids.  Parity with the sentencepiece library is verified at
+run time for every text: by its words, each once for as long as its ids are kept, where the text's ids are those of its words in turn;
+else on the whole text.  Ids that differ end the job.
 
 Null or empty texts have no ids.  Repeated rows get equal ids.  Texts are encoded whole.
 """
@@ -15,7 +16,6 @@ import hashlib
 import os
 import re
 import struct
-import zlib
 from typing import Iterator
 
 import numpy as np
@@ -29,8 +29,6 @@ MODEL = os.environ.get("RANGEKEEP_SPIECE", "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
-#: One in so many texts is encoded by sentencepiece as well; ids that differ end the job.
-PARITY = 64
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -136,8 +134,6 @@ class Codec:
         pieces = self.model["pieces"]
         self.by_word = not any(a != MARK and b == MARK for p, _, _ in pieces for a, b in zip(p, p[1:]))
         self.plain = self.by_word and self.model["dummy_prefix"] and not self.model["charsmap"]
-        self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL
-                    else " \u2047 ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in pieces]
         self.known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -147,12 +143,12 @@ class Codec:
         return self.WORD.findall(self.normalise(text))
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
+        """The ids of each text as little-endian 32-bit integers, all of them verified."""
         def packed(parts):
             return [np.array(e.ids, "<i4").tobytes() for e in self.fast.encode_batch_fast(parts, add_special_tokens=False)]
 
         if not self.by_word:
-            return packed([self.normalise(t) for t in texts])
+            return self.verified(texts, packed([self.normalise(t) for t in texts]))
         split = [self.split(t) for t in texts]
         used = set().union(*split)
         new = list(used - self.known.keys())
@@ -162,16 +158,30 @@ class Codec:
         # words without the marker at their start come from split()'s short way, or begin an unprefixed text
         mark = MARK if self.plain else ""
         self.known.update(zip(new, packed([w if w.startswith(MARK) else mark + w for w in new]), strict=True))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        if not self.plain:
+            return self.verified(texts, out)
+        # a word as sentencepiece would read it alone; others, with more or fewer markers, stand in texts that are verified whole
+        alone = {w: w.removeprefix(MARK) for w in new}
+        alone = {w: x for w, x in alone.items() if x and MARK not in x}
+        self.verified(list(alone.values()), [self.known[w] for w in alone])
+        whole = [i for i, ws in enumerate(split) if any(w == MARK or MARK in w[1:] for w in ws)]
+        self.verified([texts[i] for i in whole], [out[i] for i in whole])
+        return out
+
+    def verified(self, texts: list[str], packed: list[bytes]) -> list[bytes]:
+        """packed, if sentencepiece gives the same ids for the texts."""
+        for t, p, ids in zip(texts, packed, self.slow.encode(texts, num_threads=1) if texts else [], strict=True):
+            if np.array(ids, "<i4").tobytes() != p:
+                raise ValueError(f"the libraries differ on a text of {len(t)} characters, sha256 {hashlib.sha256(t.encode()).hexdigest()}")
+        return packed
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(x, "<i4").tolist() for x in self.encode_bytes(texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Pieces' bytes in a row, less the dummy prefix; broken byte sequences become U+FFFD."""
-        lead = self.model["dummy_prefix"]
-        out = [b"".join([self.raw[i] for i in x]).decode("utf-8", "replace") for x in ids]
-        return [t[1:] if lead and t.startswith(" ") else t for t in out]
+        return self.fast.decode_batch(ids, skip_special_tokens=False)
 
 
 _CODECS: dict[bytes, Codec] = {}
@@ -187,20 +197,19 @@ def codec_of(data: bytes) -> Codec:
     return _CODECS[key]
 
 
-SCHEMA = fields("n_tokens long,ids_sha256 string,n_bytes long,decoded_sha256 string,round_trip boolean,checked boolean")
+SCHEMA = fields("n_tokens long,ids_sha256 string,n_bytes long,decoded_sha256 string,round_trip boolean")
 #: Texts a call to the library: bounds what a task holds.
 BATCH = 256
 
 
 def tokenise(text: Column, model_path: str = MODEL, with_ids: bool = False) -> Column:
     """A struct of the number of ids, their digest (little-endian 32-bit integers), the text's UTF-8 length,
-    the decoded text's digest, whether decoding gave the text back, and whether parity was verified on this
-    text.  with_ids: the ids as well."""
+    the decoded text's digest, and whether decoding gave the text back.  with_ids: the ids as well."""
     with open(model_path, "rb") as f:
         model = f.read()
     schema = fields(",".join(f"{f.name} {f.dataType.simpleString().replace('bigint', 'long')}" for f in SCHEMA)
                     + (",ids array<int>" if with_ids else ""))
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of(model)
@@ -210,13 +219,10 @@ def tokenise(text: Column, model_path: str = MODEL, with_ids: bool = False) -> C
                 texts = [t or "" for t in column.slice(at, BATCH).to_pylist()]
                 packed = codec.encode_bytes(texts)
                 kept += packed if with_ids else []
-                for t, p in zip(texts, packed, strict=True):
-                    ids, raw = np.frombuffer(p, "<i4").tolist(), t.encode()
-                    (back,) = codec.decode([ids])
-                    check = zlib.crc32(raw) % PARITY == 0
-                    if check and (codec.slow.encode(t) != ids or codec.fast.decode(ids, skip_special_tokens=False) != back):
-                        raise ValueError(f"the libraries differ on a text of {len(raw)} bytes, sha256 {hashlib.sha256(raw).hexdigest()}")
-                    rows.append((len(ids), hashlib.sha256(p).hexdigest(), len(raw), hashlib.sha256(back.encode()).hexdigest(), back == t, check))
+                ids = [np.frombuffer(p, "<i4").tolist() for p in packed]
+                for t, p, x, back in zip(texts, packed, ids, codec.decode(ids), strict=True):
+                    raw = t.encode()
+                    rows.append((len(x), hashlib.sha256(p).hexdigest(), len(raw), hashlib.sha256(back.encode()).hexdigest(), back == t))
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
             arrays = [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]
             if with_ids:  # ids stay packed: as Python numbers those of a batch would take hundreds of megabytes

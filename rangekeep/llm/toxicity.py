@@ -3,13 +3,17 @@
 The terms are learned from labelled rows: words, and stems (prefixes), whose distinct left contexts lie
 almost all in toxic texts.  Counting contexts rather than texts keeps copies from weighing more than once.
 A token is looked up by running its Levenshtein automaton (bit-parallel, one bit a position) over the trie;
-terms under 5 letters must match exactly, under 8 with one edit at most, longer ones with two.  Tokens near a
+words under 5 letters must match exactly, under 8 with one edit at most, longer ones with two.  A stem must be met at the
+beginning of a token, with one edit at most, or none under 8 letters; the commoner words stay terms beside
+their stems.  Tokens near a
 term that are common in clean texts are not abuse.  Each hit is weighed by its distance and its context window:
 quotation lowers it, direct address raises it.  A logistic regression over the sums gives the score.
 
 The fit takes at most SAMPLE labelled rows of each class, chosen by a hash of the id; null or contradictory
-labels are left out.  Without rows of both classes all scores are 0.5.  Null texts count as empty; empty texts,
-and texts without hits, get the score of no hits.  Repeated rows get equal scores; whole texts are read.
+labels are left out; of rows that share a labelled id, the text that sorts first is learned from.  A term must reach a share of the toxic
+sample, so their number does not grow with the input.  Without rows of both classes all scores are 0.5.  Null texts count as empty; empty
+texts, and texts without hits, get the score of no hits.  Repeated rows get equal scores; whole texts are read.  Offsets of spans are code
+points of the text.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ from .common import bucket, fields, stage, text_udf
 
 #: Labelled rows of each class that the fit takes at most.
 SAMPLE = 6_000
-MAX_TERMS = 400
+#: Of a stem's contexts, the share from which a form of it is a term of its own.
+FORM_SHARE = 0.1
 THRESHOLD = 0.5
 TOKEN = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)*")
 #: Digits and marks that stand for letters.
@@ -39,12 +44,20 @@ REMEMBER = 400_000
 
 
 def edits(term: str) -> int:
-    """Edits that a term allows."""
+    """Edits that a term allows; that of a stem ends in *."""
+    if term.endswith("*"):
+        return 0 if len(term) - 1 < 8 else 1
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+def lowered(text: str) -> str:
+    """In small letters, each in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 class Trie:
-    """Terms in a trie; a term ending in * is a stem that tokens may go on from, exactly spelled."""
+    """Terms in a trie; a term ending in * is a stem that tokens may go on from."""
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
@@ -54,7 +67,7 @@ class Trie:
             for c in word:
                 node = node.setdefault(c, {})
             node.setdefault("", []).append(term)
-            k = 0 if term.endswith("*") else edits(word)
+            k = edits(term)
             cuts = [len(word) * i // (k + 1) for i in range(k + 2)]
             parts |= {word[a:b] for a, b in zip(cuts, cuts[1:])}
         # of k+1 parts of a term, k edits leave one whole: tokens without any part need no automaton
@@ -76,11 +89,9 @@ class Trie:
             for c, below in node.items():
                 if c == "":
                     for term in below:
-                        stem = term.endswith("*")
-                        k = 0 if stem else edits(term)
-                        # states: bit i of r_j is set if i characters of the token are read with j edits at most
-                        d = 0 if (r0 if stem else r0 >> n & 1) else 1 if r1 >> n & 1 else 2 if r2 >> n & 1 else 3
-                        if d <= k and (best is None or (d, term) < best):
+                        # states: bit i of r_j is set if i characters of the token are read with j edits at most; a stem may stop at any
+                        d = next((j for j, r in enumerate((r0, r1, r2)) if (r if term.endswith("*") else r >> n & 1)), 3)
+                        if d <= edits(term) and (best is None or (d, term) < best):
                             best = (d, term)
                     continue
                 m = mask.get(c, 0)
@@ -113,9 +124,8 @@ class Finder:
             return None
         return min(found)[1], min(found)[0]
 
-    def hits(self, text: str) -> tuple[int, list[tuple[int, int, str, int]]]:
-        """Number of tokens, and (start, end, term, distance) of each hit."""
-        low = text.lower()
+    def hits(self, low: str) -> tuple[int, list[tuple[int, int, str, int]]]:
+        """Number of tokens of a lowered text, and (start, end, term, distance) of each hit."""
         tokens = TOKEN.findall(low)
         seen = set(tokens)
         if len(self.good) > REMEMBER:
@@ -141,9 +151,8 @@ def weight(text: str, start: int, end: int, distance: int) -> float:
     return w * (1.25 if addressed else 1.0)
 
 
-def features(finder: Finder, text: str) -> list[float]:
-    n, hits = finder.hits(text)
-    low = text.lower() if hits else ""
+def features(low: str, n: int, hits: list[tuple[int, int, str, int]]) -> list[float]:
+    """Sums over the hits of a lowered text of n tokens."""
     ws = [weight(low, a, b, d) for a, b, _, d in hits]
     total = sum(ws)
     return [math.log1p(total), math.sqrt(total / max(1, n)), math.log1p(len({t for _, _, t, _ in hits})),
@@ -152,7 +161,7 @@ def features(finder: Finder, text: str) -> list[float]:
 
 def contexts(text: str) -> tuple:
     """The distinct (previous token, token) pairs of a text, tab-joined."""
-    tokens = TOKEN.findall(text.lower())
+    tokens = TOKEN.findall(lowered(text))
     return (sorted({f"{p}\t{t}" for p, t in zip(["", *tokens], tokens)}),)
 
 
@@ -163,7 +172,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("doc_id", "y")
     first = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for y in (0, 1)]
     ids = F.broadcast(first[0].union(first[1]))  # 2 * limit rows of two numbers at most
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def lexicon(rows: DataFrame, n_clean: int, n_toxic: int) -> tuple[list[str], DataFrame]:
@@ -179,23 +189,23 @@ def lexicon(rows: DataFrame, n_clean: int, n_toxic: int) -> tuple[list[str], Dat
     keyed = counts.filter((length >= 4) & ~F.col("w").rlike("^[0-9]+$")).select(F.explode(F.concat(F.array("w"), stems)).alias("t"), "toxic", "clean")
     sums = keyed.groupBy("t").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rate = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    strong = sums.filter((F.col("toxic") >= max(5, n_toxic // 100)) & (rate >= 30))
-    found = {r["t"]: r["toxic"] for r in strong.orderBy(F.desc("toxic"), "t").limit(20 * MAX_TERMS).collect()}
-    terms: list[str] = [t for t in found if not t.endswith("*")]
+    strong = sums.filter((F.col("toxic") >= F.greatest(F.lit(5), F.lit(n_toxic // 100))) & (rate >= 30))
+    found = {r["t"]: r["toxic"] for r in strong.collect()}
+    words = {t for t in found if not t.endswith("*")}
     kept: list[str] = []
-    for t in sorted((t for t in found if t.endswith("*")), key=len):
+    for t in sorted((t for t in found if t.endswith("*")), key=lambda t: (len(t), t)):
         stem = t[:-1]
         if any(stem.startswith(k[:-1]) for k in kept):
             continue
         # the longest stem that covers nearly as much, unless one word does
         while longer := max((u for u in found if u.endswith("*") and len(u) == len(stem) + 2 and u.startswith(stem)
-                             and found[u] >= 0.9 * found[stem + "*"]), key=lambda u: found[u], default=None):
+                             and found[u] >= 0.9 * found[stem + "*"]), key=lambda u: (found[u], u), default=None):
             stem = longer[:-1]
-        if not any(found[w] >= 0.9 * found[stem + "*"] for w in terms if w.startswith(stem)):
+        if stem + "*" not in kept and not any(found[w] >= 0.9 * found[stem + "*"] for w in words if w.startswith(stem)):
             kept.append(stem + "*")
-    covered = tuple(k[:-1] for k in kept)
-    words = [w for w in terms if not w.startswith(covered)] if covered else terms
-    return sorted(sorted([*words, *kept], key=lambda t: (-found[t], t))[:MAX_TERMS]), counts
+    # of the forms that a stem covers, the common ones stay terms, to be met misspelled; the endings of others tell little
+    rest = [w for w in words if all(found[w] >= FORM_SHARE * found[k] for k in kept if w.startswith(k[:-1]))]
+    return sorted([*rest, *kept]), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -213,7 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     alike = counts.filter(F.col("clean") / n_clean >= 0.2 * F.col("toxic") / n_toxic).filter(near(F.col("w"))["near"])
     clean = frozenset(r["w"] for r in alike.select("w").collect())
     finder = Finder(terms, clean)
-    got = rows.select("doc_id", "y", text_udf(fields("x array<double>"), lambda: lambda t: (features(finder, t),))(F.col("text"))["x"].alias("x")).collect()
+    def made():
+        return lambda t: (features(low := lowered(t), *finder.hits(low)),)
+
+    got = rows.select("doc_id", "y", text_udf(fields("x array<double>"), made)(F.col("text"))["x"].alias("x")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y = np.array([r["x"] for r in got]), np.array([float(r["y"]) for r in got])
     return {"terms": terms, "clean": clean, "weights": logistic(x, y)}
@@ -239,9 +252,11 @@ def _scorer(model: dict | None):
     finder = Finder(model["terms"], model["clean"])
 
     def one(text: str) -> tuple:
-        x = features(finder, text)
+        low = lowered(text)
+        n, hits = finder.hits(low)
+        x = features(low, n, hits)
         z = sum(a * b for a, b in zip([*x, 1.0], model["weights"], strict=True))
-        spans = ",".join(f"{t}:{a}:{b}" for a, b, t, _ in finder.hits(text)[1])
+        spans = ",".join(f"{t}:{a}:{b}" for a, b, t, _ in hits)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), spans
 
     return one

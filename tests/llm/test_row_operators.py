@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,14 @@ def test_entropy():
     for _ in range(50):
         s = "".join(r.choice("abcdef0123") for _ in range(r.randint(1, 60)))
         assert abs(secrets.peak_entropy(s) - slow(s)) < 1e-9
+    many = [("hex", i * 60, i * 60 + 30) for i in range(8000)]
+    text = ("a" * 30 + " Zm9vYmFyMTIzNDU2Nzg5MGFi ").ljust(60) * 8000
+    assert len(secrets.entropy_spans(text, many)) == 8000 and secrets.entropy_spans(text, [("assign", 0, len(text))]) == []
+    r = random.Random(4)
+    for _ in range(200):
+        text = " ".join(r.choice(["Zm9vYmFyMTIzNDU2Nzg5MGFi", "x", "Qm9vYmFyMTIzNDU2Nzg5MGFi9"]) for _ in range(6))
+        taken = [("hex", a, a + r.randint(1, 30)) for a in (r.randrange(len(text)) for _ in range(r.randint(0, 4)))]
+        assert secrets.entropy_spans(text, taken) == [s for s in secrets.entropy_spans(text) if not any(a < s[2] and s[1] < b for _, a, b in taken)]
     assert secrets.entropy_spans("x Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZkFC9 y") == [("entropy", 2, 35)]
     for clear in ("550e8400-e29b-41d4-a716-446655440000", "thonertionedandtheotherthing", "00000000000000000000000a", "some-words-and-2024-more-words"):
         assert secrets.entropy_spans(clear) == []
@@ -342,7 +351,23 @@ def test_parity():
     texts += ["".join(r.choice("ab é▁ \n.T日") for _ in range(r.randint(0, 40))) for _ in range(500)]
     ids = codec.encode(texts)
     assert ids == codec.slow.encode(texts)
-    assert codec.decode(ids) == codec.slow.decode(ids) == [codec.fast.decode(i, skip_special_tokens=False) for i in ids]
+    assert codec.decode(ids) == codec.slow.decode(ids)
+
+
+@needs_model
+def test_parity_is_verified_for_all_texts(monkeypatch):
+    with open(spiece.MODEL, "rb") as f:
+        codec = spiece.Codec(f.read())
+    seen, verified = set(), codec.verified
+    monkeypatch.setattr(codec, "verified", lambda texts, packed: seen.update(texts) or verified(texts, packed))
+    texts = ["some plain words", "two  spaces and ▁marks", "words again", "", " lead"]
+    codec.encode(texts)
+    assert {"some", "plain", "words", "again"} <= seen and texts[1] in seen
+    codec.slow = type("Other", (), {"encode": lambda self, texts, num_threads: [[7]] * len(texts)})()
+    assert codec.encode(["some words"])  # known ones are verified already
+    for text in ("unseen", "two  spaces"):
+        with pytest.raises(ValueError, match="differ"):
+            codec.encode([text])
 
 
 def field(number, kind, value):
@@ -410,10 +435,31 @@ def test_quality(spark):
     assert len(rows) == 10 and all(r.score is not None for r in rows)
     assert quality.classify(empty(spark), labels).count() == 0
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+    model = quality.fit(docs, labels)
+    twice = docs.union(docs.filter("doc_id < 9").withColumn("text", F.concat(F.lit("~"), "text")))  # texts that share a labelled id
+    assert {k: np.round(v, 9).tolist() for k, v in model.items() if k != "classes"} == {
+        k: np.round(v, 9).tolist() for k, v in quality.fit(twice, labels).items() if k != "classes"}
     kept = quality.keep_good(docs.withColumn("Quality_Score", F.lit(1)), labels)
     assert kept.columns == ["doc_id", "text", "Quality_Score"] and rows_of(kept, "doc_id") == sorted(((r.doc_id,) for r in got if r.predicted), key=repr)
 
 
+def test_discriminant_against_a_plain_version():
+    """Density differences by determinants and inverses alone."""
+    r = np.random.default_rng(5)
+    n = len(quality.NAMES)
+    sides = [r.standard_normal((60, n)) * r.uniform(0.5, 2, n) + r.uniform(-1, 1, n) for _ in range(2)]
+    pooled = sum(x.var(axis=0) for x in sides) / 2
+    model = {"centre": r.standard_normal(n), "scale": r.uniform(1, 2, n), "classes": [quality.gaussian(x, pooled, 0.1) for x in sides], "prior": 0.3}
+    stats = r.standard_normal((30, n)) * 3
+    logs = []
+    for x in sides:
+        cov = 0.9 * np.cov(x.T, bias=True) + 0.1 * np.diag(pooled) + 1e-6 * np.eye(n)
+        d = (stats - model["centre"]) / model["scale"] - x.mean(axis=0)
+        logs.append([-0.5 * (v @ np.linalg.inv(cov) @ v + math.log(np.linalg.det(cov))) for v in d])
+    want = [1 / (1 + math.exp(a - b - 0.3)) for a, b in zip(*logs)]
+    assert np.allclose(quality.probabilities(model, stats), want, rtol=1e-6)
+
+
 def lev(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -433,9 +479,46 @@ def test_automaton(token):
     assert near == (None if want is None else (want[1], want[0]))
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.text("abcx", max_size=11))
+def test_automaton_of_stems(token):
+    terms = ["abba*", "abcabbca*", "bcbcbcbc*"]
+    near = toxicity.Trie(terms).near(token)
+    want = min(((d, t) for t in terms if (d := min(lev(token[:i], t[:-1]) for i in range(len(token) + 1))) <= toxicity.edits(t)), default=None)
+    assert near == (None if want is None else (want[1], want[0]))
+
+
+def test_lexicon_keeps_words_and_distinct_stems(spark):
+    r = random.Random(2)
+    forms = ["schwachlich", "schwachliche", "schwachlichen", "schwachlicher"]
+    rows = [(i, words(r, 9) + (f" {r.choice(forms)} {words(r, 3)} {r.choice(forms)}" if i % 2 else ""), i % 2) for i in range(200)]
+    terms, _ = toxicity.lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"), 100, 100)
+    assert len(terms) == len(set(terms)) and {*forms} <= {*terms} and any(t.startswith("schwach") and t.endswith("*") for t in terms)
+    finder = toxicity.Finder(terms, frozenset())
+    assert [h[3] > 0 for h in finder.hits("schwahclich schwaclichen schwachlich")[1]] == [True, True, False]
+
+
+def test_score_is_the_regression_of_the_hits(spark):
+    """op8's score from plain parts: hits by edit distance, weights by context, the logistic function."""
+    model = {"terms": ["idiot", "pathetic"], "clean": frozenset({"idiom"}), "weights": [1.5, 2.0, 0.5, 1.0, -2.0]}
+    texts = ["", "You idiit, what a pathetic idiom", 'they said "an idiot" once', "İİ idiot", "plain words"]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", toxicity.score(F.col("text"), model).alias("s")).orderBy("i").collect()]
+    for text, row in zip(texts, got):
+        low, ws, spans = toxicity.lowered(text), [], []
+        for m in re.finditer(r"[^\W_]+", low):
+            near = min(((lev(m[0], t), t) for t in model["terms"] if lev(m[0], t) <= toxicity.edits(t)), default=None)
+            if near and m[0] not in model["clean"]:
+                ws.append(toxicity.weight(low, *m.span(), near[0]))
+                spans.append(f"{near[1]}:{m.start()}:{m.end()}")
+        n = len(re.findall(r"[^\W_]+", low))
+        x = [math.log1p(sum(ws)), math.sqrt(sum(ws) / max(1, n)), math.log1p(len({s.split(":")[0] for s in spans})), min(1.0, max(ws, default=0.0)), 1.0]
+        assert abs(row.score - 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model["weights"]))))) < 1e-9
+        assert row.spans == ",".join(spans) and len(low) == len(text)
+
+
 def test_toxicity_hits():
     finder = toxicity.Finder(["idiot", "pathetic", "lowei*"], frozenset({"idiom"}))
-    assert [h[2:] for h in finder.hits("You IDI0T, idiit pathetiic idiom loweichen")[1]] == [("idiot", 1), ("idiot", 1), ("pathetic", 1), ("lowei*", 0)]
+    assert [h[2:] for h in finder.hits(toxicity.lowered("You IDI0T, idiit pathetiic idiom loweichen"))[1]] == [("idiot", 1), ("idiot", 1), ("pathetic", 1), ("lowei*", 0)]
     quoted, plain = 'they said "an idiot" once', "what an idiot once"
     at = quoted.index("idiot")
     assert toxicity.weight(quoted, at, at + 5, 0) < toxicity.weight(plain, plain.index("idiot"), plain.index("idiot") + 5, 0)
