@@ -44,6 +44,8 @@ SAMPLE = 1500
 STEPS = 500
 #: Lanes of a task that learns from its texts, tokens of a lane at a time, and its rate.
 LEARN_LANES, LEARN_SPAN, LEARN_RATE = 192, 512, 0.002
+#: What counts as 0 in gradients: numbers whose squares a processor would only handle slowly.
+TINY = np.float32(1e-15)
 #: Distinct tokens that a counting task holds before it passes them on.
 HOLD = 400_000
 
@@ -320,10 +322,17 @@ class Network:
         norm = math.sqrt(sum(float((x * x).sum()) for x in g.values())) / n
         clip = min(1.0, 1.0 / (norm + 1e-9)) / n
         for k, x_ in g.items():
-            q = x_ * clip
-            m[k] += 0.1 * (q - m[k])
-            v[k] += 0.01 * (q * q - v[k])
-            self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+            q = x_ * np.float32(clip)
+            q[np.abs(q) < TINY] = 0
+            m[k] += np.float32(0.1) * (q - m[k])
+            m[k][np.abs(m[k]) < TINY] = 0
+            v[k] += np.float32(0.01) * (q * q - v[k])
+            v[k][v[k] < TINY * TINY] = 0
+            move = np.sqrt(v[k] * np.float32(1 / (1 - 0.99**step)))
+            move += np.float32(1e-7)
+            np.divide(m[k], move, out=move)
+            move *= np.float32(lr / (1 - 0.9**step))
+            self.p[k] -= move
         return -float(logp.mean()), h_next
 
     def learn(self, streams: Iterator[np.ndarray], end: int, lanes: int = LEARN_LANES, rate: float = LEARN_RATE) -> int:
