@@ -108,6 +108,13 @@ def most_frequent(counts: DataFrame, known: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(t), c) for t, c in zip(*(x.to_pylist() for x in top.columns))), key=lambda r: (-r[1], r[0]))
 
 
+class Places(dict):
+    """Numbers of tokens; -1 for any other."""
+
+    def __missing__(self, token: bytes) -> int:
+        return -1
+
+
 class Vocabulary:
     """Entries of the softmax in the order of their classes, and what is known of tokens."""
 
@@ -136,7 +143,7 @@ class Vocabulary:
             rest[shape(t)][0] -= c
             rest[shape(t)][1] -= 1
         self.norm = np.array([math.log10(n + SMOOTH * (v + 1)) for n, v in (rest.get(s, (0, 0)) for s in range(N_SHAPES))])
-        self.index = {t: i for i, (t, _) in enumerate(known)}
+        self.index = Places((t, i) for i, (t, _) in enumerate(known))
         n = len(known)
         shapes = np.array([shape(t) for t, _ in known], np.int64)
         self.log_count = np.log10(np.array([c for _, c in known], float) + SMOOTH) if n else np.zeros(0)
@@ -151,32 +158,40 @@ class Vocabulary:
     def read(self, text: str) -> tuple[np.ndarray, float, float, int, list[tuple[bytes, int]]]:
         """Entries; sums over known tokens of log10(c+SMOOTH) and of shares, with the norms of unknown ones;
         number of known tokens; the others with their counts in the text."""
+        words, at, entry, here = self._read(text)
+        base, share = float(self.log_count[at[here]].sum()), float(self.share[at[here]].sum())
+        others = Counter(words[i] for i in np.flatnonzero(~here).tolist())
+        share -= sum(n * self.norm[shape(t)] for t, n in others.items())
+        return entry, base, share, int(here.sum()), list(others.items())
+
+    def entries(self, text: str) -> np.ndarray:
+        return self._read(text)[2]
+
+    def _read(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         words = tokens(text)
         words.append(END)
-        get = self.index.get
-        at = np.array([get(w, -1) for w in words], np.int64)
-        entry = np.zeros(len(words), np.int64)
-        here = at >= 0
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        entry, here = np.empty(len(words), np.int64), at >= 0
         entry[here] = self.entry[at[here]]
-        base, share = float(self.log_count[at[here]].sum()), float(self.share[at[here]].sum())
-        others = Counter()
-        for i in np.flatnonzero(~here).tolist():
-            s = shape(words[i])
-            entry[i] = self.stand_in[s]
-            share -= self.norm[s]
-            others[words[i]] += 1
-        return entry, base, share, int(here.sum()), list(others.items())
+        rest = np.flatnonzero(~here)
+        entry[rest] = self.stand_in[[shape(words[i]) for i in rest.tolist()]]
+        return words, at, entry, here
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
     np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
+    np.exp(x, out=x)  # infinite for what comes to 0
     x += 1
     return np.reciprocal(x, out=x)
 
 
+def settle() -> None:
+    """One large block, taken and given back: from then on the C library keeps the memory of smaller ones, else each of numpy's
+    temporary arrays would be taken from the system anew."""
+    np.empty(31 << 20, np.uint8)
+
+
 def exp_sums(z: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
     """exp(z - m) in place and its rows' sums, with the logarithms of the true sums; m is 0 where no value reaches 80."""
     m = z.max(axis=1) if bound > 80 else None
@@ -343,10 +358,10 @@ class Network:
         def spend(stream: np.ndarray, lanes: int) -> np.ndarray:
             nonlocal step, seen
             per = (len(stream) - 1) // lanes
-            at = np.arange(per + 1)[:, None] + per * np.arange(lanes)
+            lane = np.lib.stride_tricks.as_strided(stream, (per + 1, lanes), (stream.itemsize, per * stream.itemsize))
             h = np.zeros((lanes, HIDDEN), np.float32)
             for a in range(0, per, WINDOW):
-                part, step = stream[at[a : a + WINDOW + 1]], step + 1
+                part, step = lane[a : a + WINDOW + 1], step + 1
                 _, h = self.step(part[:-1], part[1:], h, m, v, step, rate * min(1.0, step / 20))
                 seen += part[1:].size
             return stream[lanes * per :]
@@ -412,7 +427,9 @@ def learn_all(texts: DataFrame, vocabulary: Vocabulary, network: Network) -> int
         vocabulary, start = held.value
         own = Network(vocabulary.start, vocabulary.klass)
         own.p = {k: w.copy() for k, w in start.items()}
-        n = own.learn((vocabulary.read(t.as_py() or "")[0] for b in batches for t in b.column(0)), vocabulary.end)
+        settle()
+        with np.errstate(over="ignore"):
+            n = own.learn((vocabulary.entries(t.as_py() or "") for b in batches for t in b.column(0)), vocabulary.end)
         if n:
             yield row(n, np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype(np.float64) * n)
 
@@ -456,9 +473,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
     texts = train.join(F.broadcast(first.distinct()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
     stream = [np.array([vocabulary.end])]
     for r in texts.select("text").toLocalIterator():  # a start only: learn_all reads all of every text
-        stream.append(vocabulary.read(r["text"] or "")[0])
+        stream.append(vocabulary.entries(r["text"] or ""))
     network = Network(vocabulary.start, vocabulary.klass)
-    network.train(np.concatenate(stream), vocabulary.end, steps)
+    with np.errstate(over="ignore"):
+        network.train(np.concatenate(stream), vocabulary.end, steps)
     learn_all(train, vocabulary, network)
     return vocabulary, network, counts
 
@@ -481,11 +499,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = held.value
         part, count = TaskContext.get().partitionId(), 0
+        settle()
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 ids, texts = batch.column(0).slice(at, GROUP), batch.column(1).slice(at, GROUP).to_pylist()
                 read = [vocabulary.read(t or "") for t in texts]
-                logp = network.score([r[0] for r in read], vocabulary.end) / math.log(10)
+                with np.errstate(over="ignore"):
+                    logp = network.score([r[0] for r in read], vocabulary.end) / math.log(10)
                 cols = [[(part << 40) + count + i for i in range(len(ids))], [len(r[0]) for r in read], [r[3] for r in read],
                         [r[1] - len(r[0]) * vocabulary.base_norm for r in read], [p + r[2] for p, r in zip(logp.tolist(), read)],
                         [[{"token": t, "m": m} for t, m in r[4]] for r in read]]
