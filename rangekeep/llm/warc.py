@@ -11,7 +11,8 @@ in order by segment number and checked against the total length; chunked framing
 digest verified.  A damaged archive raises WarcError.
 
 Null payloads count as empty; a null url has no target header; a null id has no id header and is never a
-response that others revisit, unless none of its group has an id.  Rows repeated in full each have a record.
+response that others revisit, unless none of its group has an id.  Ids are integers; the largest is that by number.  Rows repeated in full each
+have a record.
 """
 
 from __future__ import annotations
