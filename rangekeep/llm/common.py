@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 from typing import Iterator
@@ -15,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import storage
 
-__all__ = ["ascii_lower", "bucket", "fields", "free_name", "span_text", "stage", "table", "text_udf", "without", "words"]
+__all__ = ["ascii_lower", "bucket", "fields", "free_name", "passing", "span_text", "stage", "table", "text_udf", "without", "words"]
 
 #: A-Z to a-z only; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,16 +31,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Bytes of an Arrow batch while a table is staged.
 BATCH_BYTES = "8m"
+#: Paths of tables that are deleted at the end of each `passing` block that is open.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged within are deleted at the end, but for those to be kept."""
+    made: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), made))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in made:
+            storage.delete_tree(spark, path)
+
+
+def stage(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a table in the shared folder.  Rows may be long, so Arrow batches are small while it is written; then the session has its
-    own setting again."""
+    own setting again.  keep: beyond the innermost `passing` block."""
+    path = storage.scratch(spark, name)
+    blocks = _OPEN.get()[: -1 if keep else None]
+    if blocks:
+        blocks[-1].append(path)
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     own = spark.conf.get(setting)
     spark.conf.set(setting, BATCH_BYTES)
     try:
-        return storage.stage(spark, df, name)
+        return storage.write_and_read(spark, df, path)
     finally:
         spark.conf.set(setting, own)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stage, without
+from .common import free_name, passing, stage, without
 from .decontam import split_words
 
 SHINGLE = 5
@@ -344,10 +344,12 @@ def text_key(text: Column) -> Column:
 def rows_with_roots(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(doc_id, k, r) for each row of docs: the text's key, and the root of its class."""
     spark = docs.sparkSession
-    roots = links(docs, text_col, threshold)[1].withColumnRenamed("root", "r")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("k"))
-    few = roots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return stage(spark, rows.join(F.broadcast(roots) if few else roots, "k", "left").select("doc_id", "k", F.coalesce("r", "k").alias("r")), "dedup-rows")
+    with passing(spark):
+        roots = links(docs, text_col, threshold)[1].withColumnRenamed("root", "r")
+        rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("k"))
+        few = roots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        rows = rows.join(F.broadcast(roots) if few else roots, "k", "left").select("doc_id", "k", F.coalesce("r", "k").alias("r"))
+        return stage(spark, rows, "dedup-rows", keep=True)
 
 
 def with_classes(rows: DataFrame, *aggregates: Column) -> DataFrame:

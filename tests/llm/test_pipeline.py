@@ -49,3 +49,19 @@ def test_secrets_are_gone(spark):
     out = {r.doc_id: r for r in corpus_pipeline.without_secrets(spark, docs, "").collect()}
     assert out[1].text == 'a <assign>" b' and out[1].n_chars == len(out[1].text) and out[2].text is None and out[2].n_chars is None
     assert not secrets.base_spans(out[1].text)
+
+
+def test_tables_of_a_stage_go_when_it_is_done(spark):
+    from rangekeep.functions import storage
+    from rangekeep.llm.common import passing, stage
+
+    at = lambda df: df.inputFiles()[0].rsplit("/", 1)[0]
+    there = lambda path: bool(storage.list_names(spark, path))
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(setting)
+    with passing(spark):
+        with passing(spark):
+            inner, kept = stage(spark, spark.range(3), "x"), stage(spark, spark.range(4), "y", keep=True)
+            paths = [at(inner), at(kept)]
+        assert not there(paths[0]) and there(paths[1]) and kept.count() == 4
+    assert not there(paths[1]) and spark.conf.get(setting) == own
