@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangekeep.llm import decontam, dedup, quality, secrets, spiece
-from rangekeep.llm.common import stage, table
+from rangekeep.llm.common import passing, stage, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, step) in enumerate(STAGES):
-        docs = stage(spark, step(spark, docs, sf_dir), f"pipeline-{k}")
+        with passing(spark):  # what a stage writes for itself goes once its result is written
+            docs = stage(spark, step(spark, docs, sf_dir), f"pipeline-{k}", keep=True)
     return docs
