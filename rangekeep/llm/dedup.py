@@ -301,9 +301,9 @@ def crossing_links(large: DataFrame, words: DataFrame, roots: DataFrame, thresho
     return stage(spark, left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "a binary, b binary").distinct(), "dedup-crossing")
 
 
-def links(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links (a, b, similarity) between different texts, by their keys (md5 of the text); and where there are large buckets, the
-    classes (k, root) that they and the links across large buckets make."""
+def links(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) between different texts, by their keys (md5 of the text): all of those in small buckets and with
+    centres; and the classes (k, root) that they and the links across large buckets make."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", F.unhex(F.md5("text")))
     make = F.arrow_udf(_sketch_batches, "struct<sketch:array<bigint>,shingles:array<bigint>>").asNondeterministic()
