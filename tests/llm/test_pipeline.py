@@ -3,6 +3,7 @@
 import os
 import shutil
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -18,7 +19,9 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     model = quality.fit(docs, labels)
-    rows = {r.doc_id: r.text for r in docs.collect() if quality.probability(model, quality.statistics(r.text or "")) >= quality.THRESHOLD}
+    every = docs.collect()
+    good = quality.probabilities(model, np.array([quality.statistics(r.text or "") for r in every])) >= quality.THRESHOLD
+    rows = {r.doc_id: r.text for r, g in zip(every, good) if g}
     pairs = sorted(rows.items())
     classes = brute_classes(pairs, brute_links(pairs))
     kept = [(i, t) for i, t in pairs if classes[i] == i]
